@@ -3,17 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, embed_dedup, lang_id, ngram_join, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(table(spark, sf_dir, "documents"), n=5, threshold=0.8).drop("th")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=200, with_bytes=False)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lang_id.held_out(F.col("doc_id"), 3, 1)
+    model = lang_id.fit(docs, ~held)
+    return lang_id.identify(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lang_id.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
-QUERIES = {f.__name__: f for f in (op10_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op4_suffix_dedup, op7_language_id, op8_toxicity, op10_decontaminate)}
 ORACLES = {"op10_decontaminate": decontaminate.SQL}
