@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, lang_id, ngram_join, suffix_dedup, toxicity
+from . import decontaminate, embed_dedup, lang_id, ngram_join, piece_sampling, suffix_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file of the public tokenizers that are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -24,6 +31,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=200, with_bytes=False)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    path = token_store.scratch(spark)
+    token_store.write(table(spark, sf_dir, "documents"), path, tokenizer_file or vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_store.read(spark, path, with_ids=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = lang_id.held_out(F.col("doc_id"), 3, 1)
@@ -38,9 +51,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), model_file or vocabulary("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op4_suffix_dedup, op7_language_id, op8_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op4_suffix_dedup, op6_token_files, op7_language_id, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
 ORACLES = {"op10_decontaminate": decontaminate.SQL}
