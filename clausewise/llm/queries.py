@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, lang_id, ngram_join, piece_sampling, suffix_dedup, token_store, toxicity
+from . import decontaminate, embed_dedup, lang_id, license_scan, line_dedup, ngram_join, piece_sampling, suffix_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(table(spark, sf_dir, "documents"), n=5, threshold=0.8).drop("th")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths; documents are taken to lie in directories by source and by thousands and hundreds of their ids."""
+    docs = table(spark, sf_dir, "documents")
+    place = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.inherit(license_scan.scan(docs.select("doc_id", place.alias("path"), "text")))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=200, with_bytes=False)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     path = token_store.scratch(spark)
     token_store.write(table(spark, sf_dir, "documents"), path, tokenizer_file or vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -59,5 +70,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op4_suffix_dedup, op6_token_files, op7_language_id, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_token_files, op7_language_id, op8_toxicity, op9_sentencepiece, op10_decontaminate)}
 ORACLES = {"op10_decontaminate": decontaminate.SQL}
