@@ -117,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     bad = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     same = [docs["doc_id"].eqNullSafe(bad["__id"]), F.xxhash64(docs["text"]) == bad["__th"]]
     if remove == "documents":
-        return docs.join(bad, same, "left_anti")
+        return docs.join(bad.drop("__spans"), same, "left_anti")
     kept = F.filter(words_of(F.col("text")), lambda w, i: ~F.exists("__spans", lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"])))
     out = docs.join(bad, same, "left")
     return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(*docs.columns)
