@@ -15,8 +15,10 @@ corpus. Windows of that length are never all hashed or sorted. Instead:
    suffixes, those right of it (the parse that follows) by their prefixes; runs of equal suffixes
    of the one and equal prefixes of the other combine to the corpus order of the windows, in which
    equal windows are neighbours. Only the ends of repeats get so far.
-5. A key with more than ``SHARD`` phrases is not sorted in one task: its windows are counted by
-   fingerprint instead, with partial aggregation.
+5. A key with more than ``SHARD`` phrases is not sorted in one task. Its phrases are dealt to finer
+   shards: by the last 1, 2, 4, ... bytes of the left text and as much of the right one as every
+   window of the offsets between two such lengths has. Windows of a finer shard that is too large
+   still are counted by fingerprint, with partial aggregation.
 """
 
 from __future__ import annotations
@@ -112,16 +114,16 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, "doc_id bigint, th int, packed binary")
 
 
-def repeated_in_shard(lefts: list[bytes], rights: list[bytes], low: np.ndarray, length: int) -> np.ndarray:
-    """For phrases i with windows of offsets l, low[i] <= l <= len(lefts[i]): a matrix (phrases x
+def repeated_in_shard(lefts: list[bytes], rights: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """For phrases i with windows of offsets l, low[i] <= l <= high[i]: a matrix (phrases x
     offsets) that is true where the window also belongs to another phrase. Windows are the last l
     bytes of the left text and the first length - l of the right one."""
-    n, widest = len(lefts), max(map(len, lefts)) + 1
-    left_class = _classes([x[::-1] for x in lefts], widest - 1)[:, :widest]  # by length of the common suffix
+    n, widest = len(lefts), int(high.max()) + 1
+    left_class = _classes([x[::-1] for x in lefts], widest - 1)  # by length of the common suffix
     right = _classes(rights, length)
     offset = np.arange(widest)
     code = left_class.astype(np.int64) * n + right[:, length - offset]
-    inside = (offset[None] >= low[:, None]) & (offset[None] <= np.array([len(x) for x in lefts])[:, None])
+    inside = (offset[None] >= low[:, None]) & (offset[None] <= high[:, None])
     code[~inside] = -1 - np.broadcast_to(np.arange(n)[:, None], code.shape)[~inside]
     order = np.argsort(code, axis=0, kind="stable")
     ranked = np.take_along_axis(code, order, 0)
@@ -169,24 +171,49 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
 
         loose, seen = zstandard.ZstdDecompressor(), set()
         for b in source:
-            out: dict[str, list] = {k: [] for k in ("key", "kinds", "copies", "doc_id", "th", "start", "left", "more", "context")}
+            out: dict[str, list] = {k: [] for k in schema.names}
             for doc, th, packed, ends in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "packed", "ends")], strict=True):
                 if (doc, th) in seen:  # a repeated row
                     continue
                 seen.add((doc, th))
                 text = loose.decompress(packed)
                 for e in ends:
-                    for k, v in (e | {"doc_id": doc, "th": th, "context": text[e["start"] : e["start"] + e["more"] + length]}).items():
+                    row = {k: e[k] for k in ("key", "kinds", "copies", "start", "left")} | {"doc_id": doc, "th": th, "low": e["left"] - e["more"], "high": e["left"]}
+                    for k, v in (row | {"context": text[e["start"] : e["start"] + e["more"] + length]}).items():
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("left", pa.int32()), ("more", pa.int32()), ("context", pa.binary())])
-    context = graph.cut(fetch.mapInArrow(contexts, "key bigint, kinds bigint, copies bigint, doc_id bigint, th int, start bigint, left int, more int, context binary"))
+    # a phrase in a shard: low and high bound the offsets of the windows that the shard is to compare
+    schema = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("left", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())])
+    kind = "key bigint, kinds bigint, copies bigint, doc_id bigint, th int, start bigint, left int, low int, high int, context binary"
+    context = graph.cut(fetch.mapInArrow(contexts, kind))
+
+    def refine(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = [(0, 0), *[(1 << k, (2 << k) - 1) for k in range(max(1, length.bit_length()))]]
+        for b in bytesops.batches(source):
+            data, offsets = bytesops.column_bytes(_as_text(b.column("context")))
+            prefix = bytesops.prefix_hash(data)
+            left, low, high = (b.column(c).to_numpy() for c in ("left", "low", "high"))
+            trigger = offsets[:-1] + left
+            for lo, hi in bounds:
+                some = np.flatnonzero((low <= hi) & (high >= lo))
+                hi = min(hi, span_of(length) - 1)
+                at = trigger[some]
+                tail = bytesops.span_hash(prefix, at - lo, at)
+                head = bytesops.span_hash(prefix, at, np.minimum(at + length - hi, offsets[1:][some]))
+                key = bytesops.mix(b.column("key").to_numpy().view(U64)[some] + tail * U64(0x9E3779B97F4A7C15) + head * U64(0xC2B2AE3D27D4EB4F) + U64(lo))
+                part = b.take(pa.array(some))
+                new = {"key": pa.array(key.view(np.int64)), "low": pa.array(np.maximum(low[some], lo).astype(np.int32)), "high": pa.array(np.minimum(high[some], hi).astype(np.int32))}
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in schema.names], schema.names)
+
+    fine = context.filter(F.col("kinds") > shard).mapInArrow(refine, kind).drop("kinds")
+    sizes = fine.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 AND least = 1").drop("least")
+    fine = fine.join(sizes, "key").select(*schema.names)
 
     def sort(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in graph.groups(source, ["key"]):
-            text, left, more = g.column("context").to_pylist(), g.column("left").to_numpy(), g.column("more").to_numpy()
-            twin = repeated_in_shard([x[:k] for x, k in zip(text, left, strict=True)], [x[k:] for x, k in zip(text, left, strict=True)], left - more, length)
+            text, left, low, high = g.column("context").to_pylist(), *[g.column(c).to_numpy() for c in ("left", "low", "high")]
+            twin = repeated_in_shard([x[:k] for x, k in zip(text, left, strict=True)], [x[k:] for x, k in zip(text, left, strict=True)], low, high, length)
             twin &= g.column("copies").to_numpy()[:, None] == 1
             row, offset = np.nonzero(twin[:, ::-1])  # windows in order of position
             if len(row):
@@ -200,23 +227,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
                 start = g.column("start").to_numpy() + position[first]
                 yield pa.RecordBatch.from_arrays([g.column("doc_id").combine_chunks(), g.column("th").combine_chunks(), pa.array(start), pa.array((position[last] - position[first]).astype(np.int32))], ["doc_id", "th", "start", "more"])
 
-    sharded = context.filter(F.col("kinds") <= shard).repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc_id bigint, th int, start bigint, more int")
+    shards = context.unionByName(fine).filter(F.col("kinds") <= shard)
+    sharded = shards.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc_id bigint, th int, start bigint, more int")
 
     def windows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 data, offsets = bytesops.column_bytes(_as_text(part.column("context")))
-                more = part.column("more").to_numpy()
-                row = np.repeat(np.arange(part.num_rows), more + 1)
-                shift = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                left, low, high = (part.column(c).to_numpy() for c in ("left", "low", "high"))
+                count = high - low + 1
+                row = np.repeat(np.arange(part.num_rows), count)
+                shift = left[row] - high[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 start = offsets[:-1][row] + shift
                 print_ = bytesops.span_hash(bytesops.prefix_hash(data), start, start + length)
                 columns = [part.column(c).take(pa.array(row)) for c in ("key", "copies", "doc_id", "th")]
                 where = part.column("start").to_numpy()[row] + shift
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(where), pa.array(print_.view(np.int64))], ["key", "copies", "doc_id", "th", "start", "print"])
 
-    hot = context.filter(F.col("kinds") > shard).mapInArrow(windows, "key bigint, copies bigint, doc_id bigint, th int, start bigint, print bigint")
+    hot = fine.filter(F.col("kinds") > shard).mapInArrow(windows, "key bigint, copies bigint, doc_id bigint, th int, start bigint, print bigint")
     often = hot.groupBy("key", "print").agg(F.sum("copies").alias("n")).filter("n > 1").select("key", "print")
     counted = hot.filter("copies = 1").join(often, ["key", "print"]).select("doc_id", "th", "start", F.lit(0).alias("more"))
     return settled.unionByName(sharded).unionByName(counted)
