@@ -21,8 +21,7 @@ def collapse(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; the empty one after a final line end does not count."""
-    cut = F.split(text, LINE_END)
-    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    return let(F.split(text, LINE_END), lambda cut: F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut))
 
 
 def index_of(text: Column, part: str, start: Column | int = 0) -> Column:

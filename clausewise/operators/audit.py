@@ -129,8 +129,11 @@ def term_rule(text: Column, low: Column, as_of: datetime.date) -> Column:
 
 
 def payment_rule(text: Column, low: Column) -> Column:
-    found = F.regexp_extract(text, P_PAYMENT, 0)
-    days = _number(F.regexp_extract(text, P_PAYMENT, 1))
+    return let(F.regexp_extract(text, P_PAYMENT, 0), lambda found: _payment(text, low, found))
+
+
+def _payment(text: Column, low: Column, found: Column) -> Column:
+    days = _number(F.regexp_extract(found, r"(?U)\d+", 0))
     start = F.regexp_instr(text, F.lit(P_PAYMENT)) - 1
     around = between(low, F.greatest(start - 50, F.lit(0)), F.least(start + F.length(found) + 50, F.length(text)))
     short = lambda unit: _finding("L3a", F.concat(F.lit(D_PAYMENT), days.cast("string"), F.lit(unit)), found)
@@ -144,31 +147,35 @@ def payment_rule(text: Column, low: Column) -> Column:
             label = F.when(lowered.contains(phrase), F.lit(days_text)).otherwise(label)
         return F.element_at(_finding("L3b", F.concat(F.lit(D_PAYMENT), label, F.lit(")")), strip(line)), 1)
 
-    on_terms = F.filter(
-        lines(text), lambda x: any_of(F.lower(x), ["оплат", "платеж", "расчет"]) & any_of(F.lower(x), ["дней", "дня"]) & ~x.rlike(r"(?U)\d") & any_of(F.lower(x), ["шестидесяти", *SPELLED])
-    )
+    spelled_out = "(?iu)" + "|".join(["шестидесяти", *SPELLED])
+    on_terms = F.filter(lines(text), lambda x: x.rlike("(?iu)оплат|платеж|расчет") & x.rlike("(?iu)дней|дня") & ~x.rlike(r"(?U)\d") & x.rlike(spelled_out))
     spelled = let(on_terms, lambda xs: F.when(F.size(xs) == 0, _finding("L3c", D_NO_PAYMENT, "")).otherwise(F.transform(F.filter(xs, lambda x: ~F.lower(x).contains("шестидесяти")), named)))
-    return F.when(found != "", numeric).otherwise(spelled)
+    unstated = _finding("L3c", D_NO_PAYMENT, "")
+    return F.when(found != "", numeric).when(low.rlike("дней|дня") & low.rlike("оплат|платеж|расчет"), spelled).otherwise(unstated)
 
 
 def prepayment_rule(text: Column, low: Column) -> Column:
-    plain = F.filter(_pieces(text), lambda x: any_of(F.lower(x), ["предоплат", "аванс"]) & ~any_of(F.lower(x), ["без предоплат", "без аванс", "не "]))
+    plain = F.filter(_pieces(text), lambda x: x.rlike("(?iu)предоплат|аванс") & ~x.rlike("(?iu)без предоплат|без аванс|не "))
     what = F.when(any_of(low, APPROVALS), F.lit(D_PREPAID_CHECK)).otherwise(F.lit(D_PREPAID))
-    return let(plain, lambda xs: F.when(F.size(xs) > 0, _finding("L4", what, strip(F.get(xs, 0)))).otherwise(_none()))
+    found = let(plain, lambda xs: F.when(F.size(xs) > 0, _finding("L4", what, strip(F.get(xs, 0)))).otherwise(_none()))
+    return F.when(any_of(low, ["предоплат", "аванс"]), found).otherwise(_none())
 
 
 def acceptance_rule(text: Column, low: Column) -> Column:
-    found, days = F.regexp_extract(text, P_ACCEPT, 0), _number(F.regexp_extract(text, P_ACCEPT, 1))
-    short = _finding("L5", F.concat(F.lit(D_ACCEPT), days.cast("string"), F.lit(" дн.)")), found)
-    return F.when(any_of(low, ["услуг", "работ"]), F.when(found == "", _finding("L5", D_NO_ACCEPT, "")).when(days < 5, short).otherwise(_none())).otherwise(_none())
+    def judge(found: Column) -> Column:
+        days = _number(F.regexp_extract(found, P_ACCEPT, 1))
+        short = _finding("L5", F.concat(F.lit(D_ACCEPT), days.cast("string"), F.lit(" дн.)")), found)
+        return F.when(found == "", _finding("L5", D_NO_ACCEPT, "")).when(days < 5, short).otherwise(_none())
+
+    return F.when(any_of(low, ["услуг", "работ"]), let(F.regexp_extract(text, P_ACCEPT, 0), judge)).otherwise(_none())
 
 
 def pay_day_rule(text: Column, low: Column) -> Column:
-    weekly = F.filter(lines(text), lambda x: F.lower(x).contains("платеж") & F.lower(x).contains("недел"))
-    fine = lambda x: any_of(F.lower(x), ["1 раз в неделю", "один раз в неделю", "один платежный день"])
-    return let(
-        F.get(weekly, 0), lambda x: F.when(x.isNull(), _finding("L6", D_NO_PAY_DAY, "")).when(fine(x), _none()).otherwise(_finding("L6", D_PAY_DAY, strip(x)))
-    )
+    weekly = F.filter(lines(text), lambda x: x.rlike("(?iu)платеж") & x.rlike("(?iu)недел"))
+    fine = lambda x: x.rlike("(?iu)1 раз в неделю|один раз в неделю|один платежный день")
+    missing = _finding("L6", D_NO_PAY_DAY, "")
+    judged = let(F.get(weekly, 0), lambda x: F.when(x.isNull(), missing).when(fine(x), _none()).otherwise(_finding("L6", D_PAY_DAY, strip(x))))
+    return F.when(low.contains("платеж") & low.contains("недел"), judged).otherwise(missing)
 
 
 def protocol_rule(text: Column, low: Column) -> Column:
@@ -202,7 +209,7 @@ def audit(contracts: DataFrame, as_of: datetime.date, text: str = "text") -> Dat
     """
     t, low = F.col(text), F.col("__low")
     rules = [form_rule, lambda a, b: term_rule(a, b, as_of), payment_rule, prepayment_rule, acceptance_rule, pay_day_rule, protocol_rule, changes_rule, specification_rule, framework_rule]
-    known = t.isNotNull() & (strip(t) != "") & (F.length(t) >= SHORTEST)
+    known = t.isNotNull() & t.rlike(r"(?U)\S") & (F.length(t) >= SHORTEST)
     out = contracts.withColumn("__low", F.lower(t)).withColumn("violations", F.when(known, F.concat(*[r(t, low) for r in rules])).otherwise(_none()))
     status = F.when(~F.coalesce(known, F.lit(False)), UNKNOWN).when(F.size("violations") > 0, NONSTANDARD).otherwise(STANDARD)
     return out.withColumn("status", status).drop("__low")
@@ -210,7 +217,9 @@ def audit(contracts: DataFrame, as_of: datetime.date, text: str = "text") -> Dat
 
 def violations(audited: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per violation, numbered from 1 in each document."""
-    return audited.select(key, F.posexplode("violations").alias("pos", "v")).select(key, (F.col("pos") + 1).alias("ord"), "v.*")
+    # the outer form: for the inner one Spark adds a filter that computes all violations once more
+    rows = audited.select(key, F.posexplode_outer("violations").alias("pos", "v")).filter("pos IS NOT NULL")
+    return rows.select(key, (F.col("pos") + 1).alias("ord"), "v.*")
 
 
 def category(description: Column) -> Column:

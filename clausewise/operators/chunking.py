@@ -123,7 +123,7 @@ def chunk(found: Column) -> Column:
 def chunk_documents(docs: DataFrame, elements: Column, key: str = "doc_id") -> DataFrame:
     """One row per chunk: key, ord (from 0), chunk_id, heading, text, words. Documents without any element have none."""
     found = docs.select(key, blocks(elements).alias("b")).filter(F.size("b") > 0).select(key, clean(F.col("b")).alias("b"))
-    rows = found.select(key, F.posexplode(chunk(F.col("b"))).alias("ord", "c"))
+    rows = found.select(key, F.posexplode_outer(chunk(F.col("b"))).alias("ord", "c"))  # every document has a chunk
     return rows.select(
         key, "ord", F.concat(F.col(key).cast("string"), F.lit(":"), F.col("ord").cast("string")).alias("chunk_id"), F.col("c.heading").alias("heading"), F.col("c.text").alias("text"), word_count(F.col("c.text")).alias("words")
     )
