@@ -15,16 +15,17 @@ corpus. Windows of that length are never all hashed or sorted. Instead:
    suffixes, those right of it (the parse that follows) by their prefixes; runs of equal suffixes
    of the one and equal prefixes of the other combine to the corpus order of the windows, in which
    equal windows are neighbours. Only the ends of repeats get so far.
-5. A key with more than ``SHARD`` phrases is not sorted in one task. Its phrases are dealt to finer
-   shards: by the last 1, 2, 4, ... bytes of the left text and as much of the right one as every
-   window of the offsets between two such lengths has. Windows of a finer shard that is too large
-   still are counted by fingerprint, with partial aggregation.
+5. A key with more than ``SHARD`` phrases is not sorted in one task. The range of its windows' offsets
+   is halved, and its phrases are dealt to finer shards by the bytes that all windows of a half have
+   in common; phrases that agree in all bytes of a half are settled whole for it, as in step 3. That
+   goes on until no shard is too large; each step makes two rows of a phrase at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from . import bytesops, graph
 
-LENGTH, GRAM, SHARD = 200, 16, 256
+LENGTH, GRAM, SHARD = 200, 16, 2048
+#: Offsets that are compared at once in a shard.
+COLUMNS = 32
 U64 = np.uint64
 
 
@@ -121,18 +124,21 @@ def repeated_in_shard(lefts: list[bytes], rights: list[bytes], low: np.ndarray,
     n, widest = len(lefts), int(high.max()) + 1
     left_class = _classes([x[::-1] for x in lefts], widest - 1)  # by length of the common suffix
     right = _classes(rights, length)
-    offset = np.arange(widest)
-    code = left_class.astype(np.int64) * n + right[:, length - offset]
-    inside = (offset[None] >= low[:, None]) & (offset[None] <= high[:, None])
-    code[~inside] = -1 - np.broadcast_to(np.arange(n)[:, None], code.shape)[~inside]
-    order = np.argsort(code, axis=0, kind="stable")
-    ranked = np.take_along_axis(code, order, 0)
-    twin = np.zeros(code.shape, bool)
-    twin[1:] |= ranked[1:] == ranked[:-1]
-    twin[:-1] |= ranked[1:] == ranked[:-1]
-    out = np.zeros(code.shape, bool)
-    np.put_along_axis(out, order, twin, 0)
-    return out & inside
+    out = np.zeros((n, widest), bool)
+    for at in range(int(low.min()), widest, COLUMNS):
+        offset = np.arange(at, min(at + COLUMNS, widest))
+        code = left_class[:, offset].astype(np.int64) * n + right[:, length - offset]
+        inside = (offset[None] >= low[:, None]) & (offset[None] <= high[:, None])
+        code[~inside] = -1 - np.broadcast_to(np.arange(n)[:, None], code.shape)[~inside]
+        order = np.argsort(code, axis=0, kind="stable")
+        ranked = np.take_along_axis(code, order, 0)
+        twin = np.zeros(code.shape, bool)
+        twin[1:] |= ranked[1:] == ranked[:-1]
+        twin[:-1] |= ranked[1:] == ranked[:-1]
+        part = np.zeros(code.shape, bool)
+        np.put_along_axis(part, order, twin, 0)
+        out[:, offset] = part & inside
+    return out
 
 
 def _classes(texts: list[bytes], longest: int) -> np.ndarray:
@@ -178,37 +184,44 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
                 seen.add((doc, th))
                 text = loose.decompress(packed)
                 for e in ends:
-                    row = {k: e[k] for k in ("key", "kinds", "copies", "start", "left")} | {"doc_id": doc, "th": th, "low": e["left"] - e["more"], "high": e["left"]}
+                    row = {k: e[k] for k in ("key", "kinds", "copies", "start", "left")} | {"doc_id": doc, "th": th, "low": e["left"] - e["more"], "high": e["left"], "first": 0, "last": span_of(length) - 1}
                     for k, v in (row | {"context": text[e["start"] : e["start"] + e["more"] + length]}).items():
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    # a phrase in a shard: low and high bound the offsets of the windows that the shard is to compare
-    schema = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("left", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())])
-    kind = "key bigint, kinds bigint, copies bigint, doc_id bigint, th int, start bigint, left int, low int, high int, context binary"
+    # a phrase in a shard: low and high bound the offsets of its windows that the shard is to compare, first and last those of any phrase there
+    schema = pa.schema([("key", pa.int64()), ("kinds", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("left", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("context", pa.binary())])
+    kind = "key bigint, kinds bigint, copies bigint, doc_id bigint, th int, start bigint, left int, low int, high int, first int, last int, context binary"
     context = graph.cut(fetch.mapInArrow(contexts, kind))
 
-    def refine(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = [(0, 0), *[(1 << k, (2 << k) - 1) for k in range(max(1, length.bit_length()))]]
+    def halve(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):
             data, offsets = bytesops.column_bytes(_as_text(b.column("context")))
             prefix = bytesops.prefix_hash(data)
-            left, low, high = (b.column(c).to_numpy() for c in ("left", "low", "high"))
-            trigger = offsets[:-1] + left
-            for lo, hi in bounds:
-                some = np.flatnonzero((low <= hi) & (high >= lo))
-                hi = min(hi, span_of(length) - 1)
-                at = trigger[some]
-                tail = bytesops.span_hash(prefix, at - lo, at)
-                head = bytesops.span_hash(prefix, at, np.minimum(at + length - hi, offsets[1:][some]))
-                key = bytesops.mix(b.column("key").to_numpy().view(U64)[some] + tail * U64(0x9E3779B97F4A7C15) + head * U64(0xC2B2AE3D27D4EB4F) + U64(lo))
+            left, low, high, first, last = (b.column(c).to_numpy() for c in ("left", "low", "high", "first", "last"))
+            middle = (first + last) // 2
+            for lo, hi in ((first, middle), (middle + 1, last)):
+                some = np.flatnonzero((low <= hi) & (high >= lo) & (lo <= hi))
+                at, lo, hi = offsets[:-1][some] + left[some], lo[some], hi[some]
+                own_lo, own_hi = np.maximum(low[some], lo), np.minimum(high[some], hi)
+                frame = lambda tail, rest, at=at: bytesops.span_hash(prefix, at - tail, at) * U64(0x9E3779B97F4A7C15) + bytesops.span_hash(prefix, at, at + rest)
+                key = bytesops.mix(b.column("key").to_numpy().view(U64)[some] + frame(lo, length - hi) + lo.astype(U64))
+                whole = bytesops.mix(frame(own_hi, length - own_lo) + own_lo.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
                 part = b.take(pa.array(some))
-                new = {"key": pa.array(key.view(np.int64)), "low": pa.array(np.maximum(low[some], lo).astype(np.int32)), "high": pa.array(np.minimum(high[some], hi).astype(np.int32))}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in schema.names], schema.names)
-
-    fine = context.filter(F.col("kinds") > shard).mapInArrow(refine, kind).drop("kinds")
-    sizes = fine.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 AND least = 1").drop("least")
-    fine = fine.join(sizes, "key").select(*schema.names)
+                new = {"key": key.view(np.int64), "low": own_lo.astype(np.int32), "high": own_hi.astype(np.int32), "first": lo.astype(np.int32), "last": hi.astype(np.int32)}
+                yield pa.RecordBatch.from_arrays([*[pa.array(new[c]) if c in new else part.column(c) for c in schema.names], pa.array(whole.view(np.int64))], [*schema.names, "whole"])
+
+    shards, hot = [context.filter(F.col("kinds") <= shard)], context.filter(F.col("kinds") > shard)
+    while not hot.isEmpty():
+        halves = graph.cut(hot.mapInArrow(halve, kind + ", whole bigint"))
+        place = F.struct("doc_id", "th", "start", "left", "low", "high", "first", "last", "context")
+        kinds = graph.cut(halves.groupBy("key", "whole").agg(F.sum("copies").alias("copies"), F.min(place).alias("one")))
+        same = halves.filter("copies = 1").join(kinds.filter("copies > 1").select("key", "whole"), ["key", "whole"])
+        settled = settled.unionByName(same.select("doc_id", "th", (F.col("start") + F.col("left") - F.col("high")).alias("start"), (F.col("high") - F.col("low")).alias("more")))
+        sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 AND least = 1").drop("least")
+        finer = kinds.select("key", "copies", "one.*").join(sizes, "key").select(*schema.names)
+        shards.append(finer.filter(F.col("kinds") <= shard))
+        hot = graph.cut(finer.filter(F.col("kinds") > shard))
 
     def sort(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in graph.groups(source, ["key"]):
@@ -227,28 +240,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
                 start = g.column("start").to_numpy() + position[first]
                 yield pa.RecordBatch.from_arrays([g.column("doc_id").combine_chunks(), g.column("th").combine_chunks(), pa.array(start), pa.array((position[last] - position[first]).astype(np.int32))], ["doc_id", "th", "start", "more"])
 
-    shards = context.unionByName(fine).filter(F.col("kinds") <= shard)
-    sharded = shards.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc_id bigint, th int, start bigint, more int")
+    sharded = reduce(DataFrame.unionByName, shards).repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc_id bigint, th int, start bigint, more int")
 
-    def windows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bytesops.batches(source):
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                data, offsets = bytesops.column_bytes(_as_text(part.column("context")))
-                left, low, high = (part.column(c).to_numpy() for c in ("left", "low", "high"))
-                count = high - low + 1
-                row = np.repeat(np.arange(part.num_rows), count)
-                shift = left[row] - high[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                start = offsets[:-1][row] + shift
-                print_ = bytesops.span_hash(bytesops.prefix_hash(data), start, start + length)
-                columns = [part.column(c).take(pa.array(row)) for c in ("key", "copies", "doc_id", "th")]
-                where = part.column("start").to_numpy()[row] + shift
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(where), pa.array(print_.view(np.int64))], ["key", "copies", "doc_id", "th", "start", "print"])
-
-    hot = fine.filter(F.col("kinds") > shard).mapInArrow(windows, "key bigint, copies bigint, doc_id bigint, th int, start bigint, print bigint")
-    often = hot.groupBy("key", "print").agg(F.sum("copies").alias("n")).filter("n > 1").select("key", "print")
-    counted = hot.filter("copies = 1").join(often, ["key", "print"]).select("doc_id", "th", "start", F.lit(0).alias("more"))
-    return settled.unionByName(sharded).unionByName(counted)
+    return settled.unionByName(sharded)
 
 
 def _as_text(column: pa.Array) -> pa.Array:
