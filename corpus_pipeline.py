@@ -39,9 +39,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, pieces, n_pieces and the text decoded from the pieces."""
-    model = queries.vocabulary("piece_bpe_32k.model")
-    encoded = piece_sampling.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"])
-    return piece_sampling.decode(encoded.select("doc_id", "lang", "source", "n_chars", "pieces", "n_pieces"), model)
+    encoded = piece_sampling.encode(docs, queries.vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang", "source", "n_chars"], decoded=True)
+    return encoded.select("doc_id", "lang", "source", "n_chars", "pieces", "n_pieces", F.col("decoded").alias("text"))
 
 
 STAGES = [
