@@ -164,7 +164,7 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
 
 def parent(path: Column) -> Column:
     """The directory of a path, "" for one at the top."""
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def inherit(scanned: DataFrame) -> DataFrame:

@@ -102,11 +102,16 @@ def _sharing(keyed: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """h1, h2, first, line, keys (of REGIONS) of the lines of wanted (h1, h2, first)."""
     per_doc = wanted.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("h1", "h2", F.col("first.no").alias("no"))).alias("lines"))
-    found = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & (docs["th"] == per_doc["th"])).select(docs["doc_id"], docs["th"], "text", "lines")
+    packed = _packed(docs.select("doc_id", "th", "text"))
+    found = packed.join(per_doc, packed["doc_id"].eqNullSafe(per_doc["doc_id"]) & (packed["th"] == per_doc["th"])).select(packed["doc_id"], packed["th"], "__packed", "lines")
 
     def fetch(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor()
         for b in bytesops.batches(source):
-            for at, end, data, offsets in bytesops.pieces(b.column("text")):
+            texts = pa.array([loose.decompress(x) for x in b.column("__packed").to_pylist()], pa.binary()).cast(pa.string())
+            for at, end, data, offsets in bytesops.pieces(texts):
                 chars, start, stop, text, _ = lines_of(data, offsets)
                 prefix = bytesops.prefix_hash(chars)
                 h1, h2 = _hashes(prefix, start, stop)

@@ -18,8 +18,8 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 2048
+LANES = 2048
 BITS = 15
 ONE = 1 << BITS
 MAGIC = b"CMRC"
@@ -33,73 +33,86 @@ _TARGET = np.where(_DIGITS[None] > _DIGITS[:, None], ONE - 16 + _DIGITS[None], _
 
 
 class _Model:
-    """The state of all lanes. A step is four digits; expect() gives each digit's mixture, learn() takes its value."""
+    """The state of all lanes. A step is four digits; expect() gives each digit's mixture, learn() takes its value.
+
+    Arrays of two rows hold what orders 1 and 2 have, in this order.
+    """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+        lane = np.arange(lanes)
         nodes = 1 + 16 + 256 + (1 << _LOW)
         self.shares = np.empty((lanes * nodes, 16), np.int16)
         self.shares[:] = (_DIGITS.astype(np.int32) * (ONE // 16)).astype(np.int16)
-        self.base = self.lane * nodes
-        self.table = [np.zeros(lanes << b, np.uint16) for b in (_ORDER1, _ORDER2)]
-        self.streak = [np.zeros(lanes << b, np.uint8) for b in (_ORDER1, _ORDER2)]
-        # by lane, order, digit and streak: how often the expected digit came, in parts of ONE
-        self.trust = np.full((2, lanes * 16), ONE // 4, np.int32)
-        self.trust.reshape(2, lanes, 4, 4)[:, :, 1:] = ONE * 7 // 8
+        self.base, self.cell = lane * nodes, lane * 16
+        self.table = np.zeros(lanes * ((1 << _ORDER1) + (1 << _ORDER2)), np.uint16)
+        self.streak = np.zeros(len(self.table), np.uint8)
+        self.first = np.stack([lane << _ORDER1, (lanes << _ORDER1) + (lane << _ORDER2)])
+        # by order, lane, digit and length of success: how often the expected digit came, in parts of ONE
+        self.trust = np.full((2, lanes, 4, 4), ONE // 4, np.int32)
+        self.trust[:, :, 1:] = ONE * 7 // 8
+        self.trust = self.trust.ravel()
+        self.slots = np.stack([lane * 16, (lanes + lane) * 16])
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
     def begin(self) -> None:
-        mixed = (self.last * 40503 + self.before * 60493) & 0xFFFFFFFF
-        self.at = [(self.lane << _ORDER1) + (self.last * 40503 >> 4 & (1 << _ORDER1) - 1), (self.lane << _ORDER2) + (mixed >> 6 & (1 << _ORDER2) - 1)]
-        self.guess = [self.table[k][self.at[k]].astype(np.int64) for k in range(2)]
-        self.length = [np.minimum(self.streak[k][self.at[k]], 3).astype(np.int64) for k in range(2)]
-        self.open = [self.streak[k][self.at[k]] > 0 for k in range(2)]
-        self.value = np.zeros(len(self.lane), np.int64)
+        own = self.last * 40503
+        mixed = (own + self.before * 60493) & 0xFFFFFFFF
+        self.at = self.first + np.stack([own >> 4 & (1 << _ORDER1) - 1, mixed >> 6 & (1 << _ORDER2) - 1])
+        self.guess = self.table.take(self.at).astype(np.int64)
+        self.seen = self.streak.take(self.at)
+        self.slot = self.slots + np.minimum(self.seen, 3)
+        self.open = self.seen > 0
+        self.value = np.zeros(len(self.last), np.int64)
 
     def expect(self, digit: int) -> None:
-        node = (0, 1, 17, 273)[digit] + (self.value if digit < 3 else self.value * 2654435761 >> 7 & (1 << _LOW) - 1)
+        node = self.value + (0, 1, 17)[digit] if digit < 3 else 273 + (self.value * 2654435761 >> 7 & (1 << _LOW) - 1)
         self.row = self.base + node
-        self.row_shares = self.shares[self.row]
-        self.hope = [g >> (12 - 4 * digit) & 15 for g in self.guess]
-        self.slot = [(self.lane << 4) + 4 * digit + self.length[k] for k in range(2)]
-        two = np.where(self.open[1], self.trust[1][self.slot[1]], 0)
-        one = np.where(self.open[0], self.trust[0][self.slot[0]] * (ONE - two) >> BITS, 0)
-        room = ONE - _FLOOR
-        self.two, self.one = two * room >> BITS, one * room >> BITS
-        self.rest = room - self.two - self.one
-
-    def upto(self, symbol: np.ndarray) -> np.ndarray:
-        """The mixture's share of the digits below symbol (0 to 16)."""
-        inner = self.row_shares[self.lane, np.minimum(symbol, 15)].astype(np.int64)
-        inner = np.where(symbol > 15, ONE, inner)
-        return symbol + (inner * self.rest >> BITS) + self.one * (symbol > self.hope[0]) + self.two * (symbol > self.hope[1])
+        self.row_shares = self.shares.take(self.row, axis=0)
+        self.hope = self.guess >> (12 - 4 * digit) & 15
+        self.here = self.slot + 4 * digit
+        self.trusted = self.trust.take(self.here)
+        part = self.trusted * self.open
+        two = part[1] * (ONE - _FLOOR) >> BITS
+        self.two = two.astype(np.int64)
+        self.one = part[0] * (ONE - _FLOOR - self.two) >> BITS
+        self.rest = ONE - _FLOOR - self.two - self.one
+
+    def bounds(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixture's shares of the digits below symbol and up to it."""
+        above = symbol + 1
+        flat = self.row_shares.ravel()
+        low = flat.take(self.cell + symbol).astype(np.int64)
+        high = np.where(above > 15, ONE, flat.take(self.cell + np.minimum(above, 15)).astype(np.int64))
+        one, two = self.hope
+        below = symbol + (low * self.rest >> BITS) + self.one * (symbol > one) + self.two * (symbol > two)
+        upto = above + (high * self.rest >> BITS) + self.one * (above > one) + self.two * (above > two)
+        return below, upto
 
     def find(self, share: np.ndarray) -> np.ndarray:
         """The digit in whose part of the mixture the share lies."""
-        parts = self.row_shares.astype(np.int32) * self.rest.astype(np.int32)[:, None] >> BITS
+        rest, one, two = (x.astype(np.int32)[:, None] for x in (self.rest, self.one, self.two))
+        parts = self.row_shares * rest
+        parts >>= BITS
         parts += _DIGITS
-        parts += (_DIGITS > self.hope[0][:, None]) * self.one.astype(np.int32)[:, None]
-        parts += (_DIGITS > self.hope[1][:, None]) * self.two.astype(np.int32)[:, None]
+        parts += (_DIGITS > self.hope[0][:, None]) * one
+        parts += (_DIGITS > self.hope[1][:, None]) * two
         return (parts <= share.astype(np.int32)[:, None]).sum(1) - 1
 
     def learn(self, symbol: np.ndarray) -> None:
         row = self.row_shares
-        row += (_TARGET[symbol] - row) >> 5
+        row += (_TARGET.take(symbol, axis=0) - row) >> 5
         self.shares[self.row] = row
-        for k in range(2):
-            right = self.hope[k] == symbol
-            trust = self.trust[k][self.slot[k]]
-            moved = trust + ((np.where(right, ONE - ONE // 32, ONE // 32) - trust) >> 4)
-            self.trust[k][self.slot[k]] = np.where(self.open[k], moved, trust)
-            self.open[k] = self.open[k] & right
+        right = self.hope == symbol
+        moved = (np.where(right, ONE - ONE // 32, ONE // 32).astype(np.int32) - self.trusted) >> 4
+        self.trust[self.here] = self.trusted + moved * self.open
+        self.open &= right
         self.value = self.value << 4 | symbol
 
     def end(self) -> None:
-        for k in range(2):
-            right = self.guess[k] == self.value
-            self.streak[k][self.at[k]] = np.where(right, np.minimum(self.streak[k][self.at[k]] + 1, 3), 1)
-            self.table[k][self.at[k]] = self.value
+        right = self.guess == self.value
+        self.streak[self.at] = np.where(right, np.minimum(self.seen + 1, 3), 1)
+        self.table[self.at] = self.value
         self.before, self.last = self.last, self.value
 
 
@@ -116,7 +129,7 @@ def _encode_lanes(ids: np.ndarray, count: np.ndarray) -> list[bytes]:
         for digit in range(4):
             symbol = ids[:, t] >> (12 - 4 * digit) & 15
             model.expect(digit)
-            below, above = model.upto(symbol), model.upto(symbol + 1)
+            below, above = model.bounds(symbol)
             part = span >> BITS
             if alive < lanes:
                 below[alive:], above[alive:], part[alive:] = 0, 1, span[alive:]
@@ -153,7 +166,7 @@ def _decode_lanes(words: np.ndarray, count: np.ndarray) -> np.ndarray:
             model.expect(digit)
             part = span >> BITS
             symbol = model.find(np.minimum(code // part, ONE - 1))
-            below, above = model.upto(symbol), model.upto(symbol + 1)
+            below, above = model.bounds(symbol)
             code -= part * below
             span = part * (above - below)
             if alive < lanes:

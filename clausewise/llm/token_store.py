@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops, range_coder, units
 
-FILE, PIECE, REMEMBERED = 4_000_000, 1 << 22, 600_000
+FILE, PIECE, REMEMBERED = 4_000_000, 1 << 20, 250_000
 SCHEMA = "part int, seq int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, file binary"
 
 
