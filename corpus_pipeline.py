@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from clausewise.llm import decontaminate, lang_id, line_dedup, ngram_join, piece_sampling, queries, token_store
 
-#: Mean probability under which a language is not believed.
-LANGUAGE_SCORE = 0.5
+#: Mean probability under which a language is not believed; low, for very short texts are unsure but clean.
+LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
