@@ -213,7 +213,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
 
     shards, hot = [context.filter(F.col("kinds") <= shard)], context.filter(F.col("kinds") > shard)
     while not hot.isEmpty():
-        halves = graph.cut(hot.mapInArrow(halve, kind + ", whole bigint"))
+        halves = hot.mapInArrow(halve, kind + ", whole bigint")
         place = F.struct("doc_id", "th", "start", "left", "low", "high", "first", "last", "context")
         kinds = graph.cut(halves.groupBy("key", "whole").agg(F.sum("copies").alias("copies"), F.min(place).alias("one")))
         same = halves.filter("copies = 1").join(kinds.filter("copies > 1").select("key", "whole"), ["key", "whole"])
@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
         sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 AND least = 1").drop("least")
         finer = kinds.select("key", "copies", "one.*").join(sizes, "key").select(*schema.names)
         shards.append(finer.filter(F.col("kinds") <= shard))
-        hot = graph.cut(finer.filter(F.col("kinds") > shard))
+        hot = finer.filter(F.col("kinds") > shard)
 
     def sort(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in graph.groups(source, ["key"]):
