@@ -45,7 +45,7 @@ def default_option(docs: DataFrame, opts: DataFrame) -> DataFrame:
 
 def display(docs: DataFrame) -> DataFrame:
     """Dates, shares and ids as they are shown."""
-    share = F.when(_known("similarity_score").isNull(), "0%").otherwise(F.format_string("%.1f%%", F.col("similarity_score") * 100))
+    share = F.when(_known("similarity_score").isNull(), "0%").otherwise(F.format_string("%.1f%%", F.floor(F.col("similarity_score") * 1000 + 0.5) / 10.0))
     return docs.select(
         "id", F.date_format("created_at", "dd.MM.yyyy HH:mm").alias("created"), share.alias("share"), F.concat(F.substring("id", 1, 8), F.lit("...")).alias("short_id"), F.coalesce("similar_id", F.lit("Не найден")).alias("template")
     )

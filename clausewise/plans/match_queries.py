@@ -201,7 +201,7 @@ ORACLES = {
     "document_with_choice": "SELECT s.id, s.name, nullif(similarity_score, 0) AS score, user_choice_doc_id, t.name AS chosen_name, t.version AS chosen_version FROM stored s LEFT JOIN templates t ON t.id = s.user_choice_doc_id",
     "template_options": _OPTIONS,
     "default_template_option": f"SELECT s.id, min(label) AS label FROM stored s JOIN ({_OPTIONS}) o ON o.id = s.similar_id GROUP BY s.id",
-    "display_rows": "SELECT id, strftime(created_at, '%d.%m.%Y %H:%M') AS created, CASE WHEN similarity_score IS NULL OR similarity_score = 0 THEN '0%' ELSE printf('%.1f%%', similarity_score * 100) END AS share, substr(id, 1, 8) || '...' AS short_id, coalesce(similar_id, 'Не найден') AS template FROM stored",
+    "display_rows": "SELECT id, strftime(created_at, '%d.%m.%Y %H:%M') AS created, CASE WHEN similarity_score IS NULL OR similarity_score = 0 THEN '0%' ELSE printf('%.1f%%', floor(similarity_score * 1000 + 0.5) / 10.0) END AS share, substr(id, 1, 8) || '...' AS short_id, coalesce(similar_id, 'Не найден') AS template FROM stored",
     "session_stats": "SELECT session_id, count(*) AS total, count(nullif(similarity_score, 0)) AS classified, round(100.0 * count(nullif(similarity_score, 0)) / count(*), 6) AS rate FROM stored GROUP BY 1",
     "clear_session_state": f"SELECT i.id, session_id, count(*) AS chunks FROM incoming i JOIN doc_chunks c ON c.doc_id = i.id WHERE session_id <> '{SESSION}' GROUP BY 1, 2",
     "insert_template_rows": "SELECT id, name, version, is_active FROM templates UNION ALL SELECT 'n' || id, name, NULL, true FROM templates WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0",
