@@ -13,7 +13,7 @@ from ..functions.vector import norm
 from ..operators import chunking
 from ..sources import files, index
 from ..streaming import ingest
-from . import fixtures
+from . import fixtures, text_queries
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -59,4 +59,10 @@ _INGESTED = """SELECT 'region=' || replace(r_name, ' ', '_') AS category, 'txt'
 FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 QUERIES = {f.__name__: f for f in (ingest_files, ingest_stream, file_index)}
-ORACLES = {"ingest_files": _INGESTED, "ingest_stream": _INGESTED}
+ORACLES = {
+    "ingest_files": _INGESTED,
+    "ingest_stream": _INGESTED,
+    # a vector has a direction if its chunk has a word
+    "file_index": f"""WITH {text_queries.CHUNKS_SQL} SELECT source, count(*) AS chunks, count(*) FILTER (regexp_matches(c.text, '[\\p{{L}}\\p{{N}}_]')) AS unit_vectors, min(vec_offset) AS first
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id, ord) - 1 AS vec_offset FROM chunks) c JOIN documents d ON d.doc_id = c.doc_id GROUP BY source""",
+}
