@@ -1,14 +1,18 @@
 """Licences of documents: TF-IDF cosine of lines and whole texts to licence notices, and inheritance along paths.
 
-Terms are lower-cased words; document frequencies of the templates' terms are counted over all
-documents, other terms have the weight of a term that no document holds. A line whose cosine to
-a template reaches the threshold is a notice of that licence for its own document. A document
-whose whole text reaches it is a licence file: it declares the licence of its directory, which
-documents without a notice inherit from the nearest ancestor directory that declares one.
+Terms are lower-cased words; their document frequencies are counted over all documents. A line
+whose cosine to a template reaches the threshold is a notice of that licence for its own document.
+A document whose whole text reaches it is a licence file: it declares the licence of its directory,
+which documents without a notice inherit from the nearest ancestor directory that declares one.
+
+The frequencies of all words are never in one place. A first pass finds the lines and texts that
+could reach a threshold if every word of no template had the least weight there is; only the words
+of these candidates are joined to their frequencies, once for each block of documents.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bytesops
+from . import bytesops, graph
 
 #: Notices by SPDX identifier, as projects put them in headers and licence files.
 TEMPLATES = {
@@ -44,9 +48,12 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+#: A task hands on its counts of words when it holds half as many words as this.
+MERGE_TERMS = 1 << 21
+
 
 class Scorer:
-    """Cosines of segments of a text to the templates."""
+    """Cosines of segments (runs of words) of texts to the templates."""
 
     def __init__(self, templates: dict[str, list[str]]):
         self.names = [name for name, texts in sorted(templates.items()) for _ in texts]
@@ -64,59 +71,81 @@ class Scorer:
         return np.where(self.terms[at] == words, at, len(self.terms))
 
     def weigh(self, documents: int, frequency: np.ndarray) -> None:
-        self.idf = np.log((1 + documents) / (1 + np.append(frequency, 0))) + 1
-        template = self.counts * self.idf[:-1, None]
-        template /= np.sqrt((template**2).sum(0))
-        self.part = np.vstack([template * self.idf[:-1, None], np.zeros(template.shape[1])])
-
-    def best(self, words: np.ndarray, terms: np.ndarray, segment: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(template, cosine) of the best template of each segment, or (-1, 0) where none reaches the threshold."""
-        template, cosine = np.full(n, -1), np.zeros(n)
+        """frequency: of the templates' terms. The last of idf is the least that any word can have."""
+        self.documents = documents
+        self.idf = np.append(self.idf_of(frequency), 1.0)
+        self.unit = self.counts * self.idf[:-1, None]
+        self.unit /= np.sqrt((self.unit**2).sum(0))
+        self.part = np.vstack([self.unit * self.idf[:-1, None], np.zeros(self.unit.shape[1])])
+
+    def idf_of(self, frequency: np.ndarray) -> np.ndarray:
+        return np.log((1 + self.documents) / (1 + frequency)) + 1
+
+    def markers(self, threshold: np.ndarray) -> np.ndarray:
+        """By term: whether it is one of those without which no segment can reach its template's threshold.
+
+        The squares of the template's shares of the words in common add up to the cosine's square at least.
+        """
+        square = np.sort(self.unit**2, axis=0)
+        bar = np.array([column[np.searchsorted(np.cumsum(column), (t - 1e-6) ** 2)] if t <= 1 else np.inf for column, t in zip(square.T, threshold, strict=True)])
+        return np.append(((self.unit**2 >= bar - 1e-12) & (self.unit > 0)).any(1), False)
+
+    def cosines(self, segment: np.ndarray, terms: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+        """n x templates, of segments given by their distinct words in order of the segments."""
+        norm = np.sqrt(np.bincount(segment, (count * idf) ** 2, n))
+        dot = np.zeros((n, len(self.names)))
         some = np.flatnonzero(terms < len(self.terms))
-        if not len(some):
-            return template, cosine
-        own = segment[some]
-        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        dot = np.add.reduceat(self.part[terms[some]], cut, axis=0)
-        at = own[cut]
-        least = np.sqrt(np.bincount(segment, self.idf[terms] ** 2, n))[at]  # a segment's norm is no less
-        hopeful = dot.max(1) >= (threshold - 1e-9) * least
-        dot, at = dot[hopeful], at[hopeful]
-        chosen = np.zeros(n, bool)
-        chosen[at] = True
-        mine = np.flatnonzero(chosen[segment])
-        order = mine[np.lexsort([words[mine], segment[mine]])]
-        new = np.flatnonzero(np.append(True, (words[order][1:] != words[order][:-1]) | (segment[order][1:] != segment[order][:-1])))[: len(order)]
-        count = np.diff(np.append(new, len(order)))
-        norm = np.sqrt(np.bincount(segment[order[new]], (count * self.idf[terms[order[new]]]) ** 2, n))
-        value = dot / norm[at][:, None]
-        pick = np.round(value, 9).argmax(1)
-        value = value[np.arange(len(at)), pick]
-        good = value >= threshold - 1e-9
-        template[at[good]], cosine[at[good]] = pick[good], np.minimum(value[good], 1)
-        return template, cosine
-
-
-def _frequencies(docs: DataFrame, scorer: Scorer) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those that hold each term of the templates."""
+        if len(some):
+            own = segment[some]
+            cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            dot[own[cut]] = np.add.reduceat(self.part[terms[some]] * count[some, None], cut, axis=0)
+        return dot / np.maximum(norm, 1e-300)[:, None]
+
+
+def condense(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, word, count) of the distinct words of the segments [start, stop)."""
+    size = stop - start
+    segment = np.repeat(np.arange(len(size)), size)
+    word = words[np.arange(len(segment)) + np.repeat(start - np.cumsum(size) + size, size)]
+    order = np.lexsort([word, segment])
+    segment, word = segment[order], word[order]
+    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (segment[1:] != segment[:-1])))[: len(word)]
+    return segment[new], word[new], np.diff(np.append(new, len(word)))
+
+
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """term, n: the number of documents that hold each word, and of all documents at a null term."""
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        term, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return term, np.bincount(at, np.concatenate([p[1] for p in parts]), len(term)).astype(np.int64)
+
+    def batch(term: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(scorer.terms) + 1, np.int64), 0
+        parts, held, rows = [], 0, 0
         for b in bytesops.batches(source):
             for at, end, data, offsets in bytesops.pieces(b.column("text")):
                 words, before = bytesops.word_hashes(data, offsets)
-                terms = scorer.term_of(words)
                 text = np.repeat(np.arange(end - at), np.diff(before))
-                total += np.bincount(np.unique(text * (len(scorer.terms) + 1) + terms) % (len(scorer.terms) + 1), minlength=len(total))
+                order = np.argsort(words, kind="stable")
+                word, text = words[order], text[order]
+                word = word[np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))[: len(word)]]
+                parts.append(np.unique(word, return_counts=True))
+                held += len(parts[-1][0])
                 rows += end - at
-        total[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
+                if held > MERGE_TERMS:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > MERGE_TERMS // 2:
+                        yield batch(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield batch(*merged(parts))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per term
-    found = np.zeros(len(scorer.terms) + 1, np.int64)
-    for r in rows:
-        found[r["term"]] = r["n"]
-    return int(found[-1]), found[:-1]
+    return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -127,13 +156,28 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
     the first line wins. Null and empty texts have no licence. Columns with these names are replaced.
     """
     scorer = Scorer(TEMPLATES if templates is None else templates)
-    scorer.weigh(*_frequencies(docs, scorer))
+    frequency = graph.cut(_frequencies(docs))
+    own = [int(x) for x in scorer.terms.view(np.int64)]
+    counted = {r["term"]: r["n"] for r in frequency.filter(F.col("term").isNull() | F.col("term").isin(own)).collect()}  # a row per term of the templates
+    scorer.weigh(counted.get(None, 0), np.array([counted.get(x, 0) for x in own]))
+    line_bar, text_bar = np.full(len(scorer.names), threshold), np.full(len(scorer.names), file_threshold)
+    line_marker, text_marker = scorer.markers(line_bar), scorer.markers(text_bar)
     made = [("notice", T.StringType()), ("notice_score", T.DoubleType()), ("notice_line", T.LongType()), ("file_licence", T.StringType()), ("file_score", T.DoubleType())]
     keep = [c for c in docs.columns if c != "text" and c not in dict(made)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(*m) for m in made])
+    lists = ["__line", "__segment", "__term", "__count"]  # the first line of each segment, or -1 for the text; the others by distinct word
+    found_schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__block", T.StringType())] + [T.StructField(c, T.ArrayType(T.LongType())) for c in lists])
     names = np.array([*scorer.names, None], object)
 
-    def score(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hopeful(words: np.ndarray, start: np.ndarray, stop: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The segments that may reach bar, and the distinct words of them all."""
+        segment, word, count = condense(words, start, stop)
+        terms = scorer.term_of(word)
+        able = (scorer.cosines(segment, terms, count, scorer.idf[terms], len(start)) >= bar - 1e-9).any(1)
+        mine = able[segment]
+        return np.flatnonzero(able), ((np.cumsum(able) - 1)[segment[mine]], word[mine], count[mine])
+
+    def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):
             for at, end, data, offsets in bytesops.pieces(b.column("text")):
                 n = end - at
@@ -143,23 +187,79 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
                 terms = scorer.term_of(words)
                 text = np.repeat(np.arange(n), np.diff(before))
                 feeds = np.concatenate([[0], np.cumsum(data == 10)])
-                lines = feeds[offsets[1:]] - feeds[offsets[:-1]] + 1
-                first_line = np.cumsum(lines) - lines
-                line = first_line[text] + feeds[start] - feeds[offsets[:-1]][text]
-                template, cosine = scorer.best(words, terms, line, int(lines.sum()), threshold)
-                hit = np.flatnonzero(template >= 0)
-                of = np.searchsorted(first_line, hit, "right") - 1
-                rank = np.lexsort([hit, template[hit], -np.round(cosine[hit], 9), of])
-                hit, of = hit[rank], of[rank]
-                top = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[: len(of)]
-                hit, of = hit[top], of[top]
-                notice, value, where = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
-                notice[of], value[of], where[of] = template[hit], cosine[hit], hit - first_line[of]
-                whole, share = scorer.best(words, terms, text, n, file_threshold)
-                arrays = [pa.array(names[notice], pa.string()), pa.array(value, mask=notice < 0), pa.array(where, mask=notice < 0), pa.array(names[whole], pa.string()), pa.array(share, mask=whole < 0)]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, n) for c in keep], *arrays], [*keep, *dict(made)])
-
-    return docs.select(*keep, "text").mapInArrow(score, schema)
+                line = feeds[start] - feeds[offsets[:-1]][text]
+                first, last = _runs(text, line, terms, scorer, line_marker, line_bar)
+                lines, of_lines = hopeful(words, first, last, line_bar)
+                marked = np.flatnonzero(np.bincount(text, text_marker[terms], n))
+                texts, of_texts = hopeful(words, before[marked], before[marked + 1], text_bar)
+                owner = np.concatenate([text[first[lines]], marked[texts]]).astype(np.int64)
+                where = np.concatenate([line[first[lines]], np.full(len(texts), -1)]).astype(np.int64)
+                segment = np.concatenate([of_lines[0], of_texts[0] + len(lines)]).astype(np.int64)
+                word, count = (np.concatenate([of_lines[k], of_texts[k]]) for k in (1, 2))
+                rank = np.argsort(owner, kind="stable")
+                inverse = np.empty_like(rank)
+                inverse[rank] = np.arange(len(rank))
+                order = np.argsort(inverse[segment], kind="stable")
+                per = np.bincount(owner, minlength=n)
+                entries = np.bincount(owner[segment], minlength=n)
+                inner = inverse[segment][order] - np.repeat(np.cumsum(per) - per, entries)
+                by_segment, by_word = (pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()) for k in (per, entries))
+                values = [where[rank], inner, word[order].view(np.int64), count[order].astype(np.int64)]
+                arrays = [pa.ListArray.from_arrays(by_segment if k == 0 else by_word, pa.array(v)) for k, v in enumerate(values)]
+                block = pa.array(np.where(per > 0, uuid.uuid4().hex, None), pa.string())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, n) for c in keep], block, *arrays], [*keep, "__block", *lists])
+
+    def score(docs: pa.Table, counted: pa.Table) -> pa.Table:
+        flat = {c: docs.column(c).combine_chunks() for c in lists}
+        per, entries = (np.diff(flat[c].offsets.to_numpy()) for c in ("__line", "__term"))
+        where, inner, word, count = (flat[c].flatten().to_numpy() for c in lists)
+        n, owner = len(per), np.repeat(np.arange(len(per)), per)
+        segment = inner + np.repeat(np.cumsum(per) - per, entries)
+        terms = scorer.term_of(word.view(np.uint64))
+        idf = scorer.idf[terms]
+        other = terms == len(scorer.terms)
+        known, frequency = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+        order = np.argsort(known)
+        idf[other] = scorer.idf_of(frequency[order][np.searchsorted(known[order], word[other])])
+        value = np.round(scorer.cosines(segment, terms, count, idf, len(owner)), 9)
+        out = []
+        for mine, bar in ((np.flatnonzero(where >= 0), line_bar), (np.flatnonzero(where < 0), text_bar)):
+            able = np.where(value[mine] >= bar - 1e-9, value[mine], -1)
+            template = able.argmax(1)
+            cosine = able[np.arange(len(mine)), template]
+            good = cosine >= 0
+            mine, template, cosine = mine[good], template[good], cosine[good]
+            rank = np.lexsort([mine, template, -cosine, owner[mine]])
+            top = rank[np.append(True, owner[mine][rank][1:] != owner[mine][rank][:-1])[: len(rank)]]
+            pick, best, line = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
+            pick[owner[mine][top]], best[owner[mine][top]], line[owner[mine][top]] = template[top], np.minimum(cosine[top], 1), where[mine][top]
+            out += [pa.array(names[pick], pa.string()), pa.array(best, mask=pick < 0), pa.array(line, mask=pick < 0)]
+        return pa.Table.from_arrays([*[docs.column(c) for c in keep], *out[:5]], [*keep, *dict(made)])
+
+    found = graph.cut(docs.select(*keep, "text").mapInArrow(find, found_schema))
+    some = found.filter("__block IS NOT NULL")
+    needed = some.select(F.col("__block").alias("__of"), F.explode(F.array_distinct("__term")).alias("term")).filter(~F.col("term").isin(own)).distinct()
+    scored = some.groupBy("__block").cogroup(needed.join(frequency, "term").groupBy("__of")).applyInArrow(score, schema)
+    return found.filter("__block IS NULL").select(*keep, *[F.lit(None).cast(kind).alias(c) for c, kind in made]).unionByName(scored)
+
+
+def _runs(text: np.ndarray, line: np.ndarray, terms: np.ndarray, scorer: Scorer, marker: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each line that may reach bar, and the one after the last."""
+    first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1])))[: len(line)]
+    last = np.append(first[1:], len(line))
+    marks = np.concatenate([[0], np.cumsum(marker[terms])])
+    some = marks[last] > marks[first]
+    first, last = first[some], last[some]
+    least = np.sqrt(_sums(scorer.idf[terms] ** 2, first, last))  # a norm is no less
+    able = np.zeros(len(first), bool)
+    for k in np.flatnonzero(bar <= 1):
+        able |= _sums(scorer.part[terms, k], first, last) >= (bar[k] - 1e-6) * least
+    return first[able], last[able]
+
+
+def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[last] - total[first]
 
 
 def parent(path: Column) -> Column:
