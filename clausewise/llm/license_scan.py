@@ -1,11 +1,11 @@
-"""Licences of documents: TF-IDF cosine of lines and whole texts to licence notices, and inheritance along paths.
+"""Licences of documents: TF-IDF cosine of lines, runs of lines and whole texts to licence notices, and inheritance along paths.
 
-Terms are lower-cased words; their document frequencies are counted over all documents. A line
-whose cosine to a template reaches the threshold is a notice of that licence for its own document.
-A document whose whole text reaches it is a licence file: it declares the licence of its directory,
+Terms are lower-cased words; their document frequencies are counted over all documents. A line,
+or run of lines, whose cosine to a template reaches the threshold is a notice of that licence for its
+own document. A document whose whole text reaches it is a licence file: it declares the licence of its directory,
 which documents without a notice inherit from the nearest ancestor directory that declares one.
 
-The frequencies of all words are never in one place. A first pass finds the lines and texts that
+The frequencies of all words are never in one place. A first pass finds the runs and texts that
 could reach a threshold if every word of no template had the least weight there is; only the words
 of these candidates are joined to their frequencies, once for each block of documents.
 """
@@ -149,11 +149,12 @@ def _frequencies(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """docs without text, with notice, notice_score, notice_line (of the best line, from 0; nulls if no line
-    reaches threshold), file_licence and file_score (of the whole text, from file_threshold on).
+    """docs without text, with notice, notice_score, notice_line (of the best run of lines its first, from 0; nulls if
+    no run reaches threshold), file_licence and file_score (of the whole text, from file_threshold on).
 
-    Every line and every whole text is scored. Of equal scores the first licence by name and then
-    the first line wins. Null and empty texts have no licence. Columns with these names are replaced.
+    Every line, every run of consecutive lines (those without words do not count) whose lines before the last
+    have fewer words than the longest template, and every whole text is scored. Of equal scores the first licence
+    by name, then the first line and then the shortest run wins. Null and empty texts have no licence. Columns with these names are replaced.
     """
     scorer = Scorer(TEMPLATES if templates is None else templates)
     frequency = graph.cut(_frequencies(docs))
@@ -244,12 +245,30 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
 
 
 def _runs(text: np.ndarray, line: np.ndarray, terms: np.ndarray, scorer: Scorer, marker: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of each line that may reach bar, and the one after the last."""
+    """The first word of each run of lines that may reach bar, and the one after the last, by first line and length.
+
+    A run grows while it has fewer words than the longest template with a bar. One that begins or ends with a line
+    without a word of a template is left to the shorter run, which scores higher.
+    """
     first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1])))[: len(line)]
     last = np.append(first[1:], len(line))
+    most = scorer.counts[:, bar <= 1].sum(0).max(initial=0)
     marks = np.concatenate([[0], np.cumsum(marker[terms])])
-    some = marks[last] > marks[first]
-    first, last = first[some], last[some]
+    holds = _sums(terms < len(scorer.terms), first, last) > 0
+    marked = np.append(np.flatnonzero(marks[last] > marks[first]), -1)
+    near = marked[np.searchsorted(marked[:-1], np.arange(len(first)))]  # the next line with a marker
+    begin = np.flatnonzero(holds & (near >= 0) & (text[first] == text[first[near]]) & ((first[near] - first < most) | (near == np.arange(len(first))))) if len(first) else np.zeros(0, np.int64)
+    runs, begin_at, length = [], begin, 0
+    while len(begin_at):
+        end = begin_at + length
+        good = holds[end] & (marks[last[end]] > marks[first[begin_at]])
+        runs.append((begin_at[good], end[good]))
+        begin_at, end = begin_at[end + 1 < len(first)], end[end + 1 < len(first)]
+        more = (text[first[end + 1]] == text[first[begin_at]]) & (first[end + 1] - first[begin_at] < most)
+        begin_at, length = begin_at[more], length + 1
+    begin, end = (np.concatenate([r[k] for r in runs] or [begin]) for k in (0, 1))
+    order = np.lexsort([end, begin])
+    first, last = first[begin[order]], last[end[order]]
     least = np.sqrt(_sums(scorer.idf[terms] ** 2, first, last))  # a norm is no less
     able = np.zeros(len(first), bool)
     for k in np.flatnonzero(bar <= 1):

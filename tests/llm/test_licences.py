@@ -35,3 +35,42 @@ def test_frequencies_of_all_words_count(spark):
         if whole >= 0.5:
             assert got[k]["file_score"] >= whole - 1e-9
     assert alone > 40 and got[6000]["notice"] == "MIT" and got[6001]["notice"] == "Apache-2.0"
+
+
+def runs_of(text, most):
+    """(first line, text) of the runs of lines that scan() promises to score."""
+    lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if words_of(x)]
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if j > i and sum(len(words_of(x)) for _, x in lines[i:j]) >= most:
+                break
+            yield lines[i][0], " ".join(x for _, x in lines[i : j + 1])
+
+
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+MIT = """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ *
+ * in the Software without restriction, including without limitation the rights
+"""
+
+
+def test_wrapped_notices_are_put_together(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 100").collect()]
+    code = "import os\n\nfor name in os.listdir(path):\n    print(name, end='')\n"
+    rows += [(5000, "#!/bin/sh\n#\n" + GPL + "\n" + code * 9), (5001, "/*\n" + MIT + " */\n" + code * 9), (5002, code + "# Released\n# under\n#\n# the MIT\n# License.\n" + code), (5003, code * 20), (5004, "Released under\n"), (5005, "the MIT License.")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[k]["notice"], got[k]["notice_line"]) for k in (5000, 5001, 5002, 5003)] == [("GPL-3.0", 2), ("MIT", 1), ("MIT", 4), (None, None)]
+    assert got[5000]["notice_score"] > 0.999
+    idf, most = idf_of([t for _, t in rows]), max(len(words_of(t)) for ts in license_scan.TEMPLATES.values() for t in ts)
+    for k, text in rows[-30:]:
+        scored = [(max(cosines(x, license_scan.TEMPLATES, idf, math.log(1 + len(rows)) + 1).items(), key=lambda c: round(c[1], 9)), line) for line, x in runs_of(text, most)]
+        best = max((s[0][1] for s in scored), default=0)
+        assert (got[k]["notice"] is not None) == (best >= 0.7 - 1e-9)
+        if best >= 0.7:
+            assert got[k]["notice_score"] == pytest.approx(best)
+            assert got[k]["notice_line"] == min(line for (_, c), line in scored if c > best - 1e-9)
