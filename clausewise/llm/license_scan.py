@@ -2,8 +2,8 @@
 
 Terms are lower-cased words; their document frequencies are counted over all documents. A line,
 or run of lines, whose cosine to a template reaches the threshold is a notice of that licence for its
-own document. A document whose whole text reaches it is a licence file: it declares the licence of its directory,
-which documents without a notice inherit from the nearest ancestor directory that declares one.
+own document. A document whose whole text is near a notice or a complete licence text is a licence
+file: it declares the licence of its directory, which documents without a notice inherit from the nearest ancestor directory that declares one.
 
 The frequencies of all words are never in one place. A first pass finds the runs and texts that
 could reach a threshold if every word of no template had the least weight there is; only the words
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,12 @@ MERGE_TERMS = 1 << 21
 class Scorer:
     """Cosines of segments (runs of words) of texts to the templates."""
 
-    def __init__(self, templates: dict[str, list[str]]):
-        self.names = [name for name, texts in sorted(templates.items()) for _ in texts]
-        self.texts = [t for _, texts in sorted(templates.items()) for t in texts]
+    def __init__(self, templates: dict[str, list[str]], files: dict[str, list[str]]):
+        given = [(name, complete, t) for complete, kind in ((False, templates), (True, files)) for name, texts in kind.items() for t in texts]
+        given.sort(key=lambda x: x[:2])
+        self.names = [name for name, _, _ in given]
+        self.complete = np.array([complete for _, complete, _ in given], bool)
+        self.texts = [t for _, _, t in given]
         words = [bytesops.word_hashes(*bytesops.column_bytes(pa.array([t])))[0] for t in self.texts]
         self.terms = np.unique(np.concatenate(words))
         self.counts = np.zeros((len(self.terms), len(words)))
@@ -84,11 +88,15 @@ class Scorer:
     def markers(self, threshold: np.ndarray) -> np.ndarray:
         """By term: whether it is one of those without which no segment can reach its template's threshold.
 
-        The squares of the template's shares of the words in common add up to the cosine's square at least.
+        The squares of the template's shares of the words in common add up to the cosine's square at least,
+        so any words will do whose others fall short of that: the rarest ones.
         """
-        square = np.sort(self.unit**2, axis=0)
-        bar = np.array([column[np.searchsorted(np.cumsum(column), (t - 1e-6) ** 2)] if t <= 1 else np.inf for column, t in zip(square.T, threshold, strict=True)])
-        return np.append(((self.unit**2 >= bar - 1e-12) & (self.unit > 0)).any(1), False)
+        order = np.argsort(-self.idf[:-1], kind="stable")
+        square = self.unit[order] ** 2
+        before = np.cumsum(square, axis=0) - square
+        out = np.zeros(len(self.idf), bool)
+        out[order] = ((square > 0) & (before <= 1 - (threshold - 1e-6) ** 2 + 1e-9)).any(1)
+        return out
 
     def cosines(self, segment: np.ndarray, terms: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
         """n x templates, of segments given by their distinct words in order of the segments."""
@@ -113,6 +121,12 @@ def condense(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np
     return segment[new], word[new], np.diff(np.append(new, len(word)))
 
 
+def complete_texts() -> dict[str, list[str]]:
+    """Complete licence texts by SPDX identifier, beside this module; those of other versions keep their like apart."""
+    folder = resources.files(__package__) / "licences"
+    return {f.name.removesuffix(".txt"): [f.read_text(encoding="utf-8")] for f in folder.iterdir() if f.name.endswith(".txt")}
+
+
 def _frequencies(docs: DataFrame) -> DataFrame:
     """term, n: the number of documents that hold each word, and of all documents at a null term."""
 
@@ -148,20 +162,23 @@ def _frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, templates: dict[str, list[str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, templates: dict[str, list[str]] | None = None, complete_threshold: float = 0.85, files: dict[str, list[str]] | None = None) -> DataFrame:
     """docs without text, with notice, notice_score, notice_line (of the best run of lines its first, from 0; nulls if
-    no run reaches threshold), file_licence and file_score (of the whole text, from file_threshold on).
+    no run reaches threshold), file_licence and file_score (of the whole text, from file_threshold on
+    for notices and from complete_threshold on for complete texts, which share many words with other prose).
 
     Every line, every run of consecutive lines (those without words do not count) whose lines before the last
     have fewer words than the longest template, and every whole text is scored. Of equal scores the first licence
-    by name, then the first line and then the shortest run wins. Null and empty texts have no licence. Columns with these names are replaced.
+    by name, then the first line and then the shortest run wins. files: the complete texts, those of
+    complete_texts() unless templates are given. Null and empty texts have no licence. Columns with these names are replaced.
     """
-    scorer = Scorer(TEMPLATES if templates is None else templates)
+    scorer = Scorer(TEMPLATES if templates is None else templates, files if files is not None else complete_texts() if templates is None else {})
     frequency = graph.cut(_frequencies(docs))
-    own = [int(x) for x in scorer.terms.view(np.int64)]
-    counted = {r["term"]: r["n"] for r in frequency.filter(F.col("term").isNull() | F.col("term").isin(own)).collect()}  # a row per term of the templates
-    scorer.weigh(counted.get(None, 0), np.array([counted.get(x, 0) for x in own]))
-    line_bar, text_bar = np.full(len(scorer.names), threshold), np.full(len(scorer.names), file_threshold)
+    own = docs.sparkSession.createDataFrame(pa.table({"term": scorer.terms.view(np.int64)}))
+    counted = {r["term"]: r["n"] for r in frequency.join(F.broadcast(own), "term").collect()}  # a row per term of the templates
+    documents = [r["n"] for r in frequency.filter("term IS NULL").collect()]  # one row
+    scorer.weigh(sum(documents), np.array([counted.get(int(x), 0) for x in scorer.terms.view(np.int64)]))
+    line_bar, text_bar = np.where(scorer.complete, np.inf, threshold), np.where(scorer.complete, complete_threshold, file_threshold)
     line_marker, text_marker = scorer.markers(line_bar), scorer.markers(text_bar)
     made = [("notice", T.StringType()), ("notice_score", T.DoubleType()), ("notice_line", T.LongType()), ("file_licence", T.StringType()), ("file_score", T.DoubleType())]
     keep = [c for c in docs.columns if c != "text" and c not in dict(made)]
@@ -239,7 +256,7 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
 
     found = graph.cut(docs.select(*keep, "text").mapInArrow(find, found_schema))
     some = found.filter("__block IS NOT NULL")
-    needed = some.select(F.col("__block").alias("__of"), F.explode(F.array_distinct("__term")).alias("term")).filter(~F.col("term").isin(own)).distinct()
+    needed = some.select(F.col("__block").alias("__of"), F.explode(F.array_distinct("__term")).alias("term")).distinct()
     scored = some.groupBy("__block").cogroup(needed.join(frequency, "term").groupBy("__of")).applyInArrow(score, schema)
     return found.filter("__block IS NULL").select(*keep, *[F.lit(None).cast(kind).alias(c) for c, kind in made]).unionByName(scored)
 

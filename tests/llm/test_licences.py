@@ -74,3 +74,23 @@ def test_wrapped_notices_are_put_together(spark):
         if best >= 0.7:
             assert got[k]["notice_score"] == pytest.approx(best)
             assert got[k]["notice_line"] == min(line for (_, c), line in scored if c > best - 1e-9)
+
+
+def test_licence_files_declare_their_directory(spark):
+    place = "/usr/share/common-licenses"
+    real = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = {want: open(f"{place}/{name}", encoding="utf-8").read() for name, want in real.items()}
+    texts["MIT"] = license_scan.complete_texts()["MIT"][0].replace("<year> <copyright holders>", "2019-2024 Jane Q. Public and contributors").replace("software and", "software\nand")
+    prose = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300").collect()]
+    rows = [(f"prose/{k}.txt", t) for k, t in enumerate(prose)]
+    rows += [(f"{name}/{kind}", text) for name, text in texts.items() for kind in ("LICENSE", "COPYING")]
+    rows += [(f"{name}/src/deep/{k}.py", f"import os\nprint({k})\n") for name in texts for k in range(3)]
+    rows += [("GPL-3.0/vendor/LICENSE", texts["MIT"]), ("GPL-3.0/vendor/a.py", "pass"), ("MIT/b.py", GPL + "\n".join(f"total_{k} = load_{k}(path) + offset" for k in range(60))), ("c.py", "pass")]
+    scanned = license_scan.scan(spark.createDataFrame(rows, "path string, text string"))
+    got = {r["path"]: r for r in license_scan.inherit(scanned).collect()}
+    for name in texts:
+        assert got[f"{name}/LICENSE"]["file_licence"] == name and got[f"{name}/LICENSE"]["file_score"] > 0.9
+        assert {(got[f"{name}/src/deep/{k}.py"]["licence"], got[f"{name}/src/deep/{k}.py"]["licence_from"]) for k in range(3)} == {(name, name)}
+    assert got["GPL-3.0/vendor/a.py"]["licence"] == "MIT" and got["MIT/b.py"]["licence_from"] == "notice" and got["c.py"]["licence"] is None
+    notices = set(license_scan.TEMPLATES)
+    assert len(got) == len(rows) and all(r["file_score"] is None or r["file_licence"] in notices for p, r in got.items() if p.startswith("prose/"))
