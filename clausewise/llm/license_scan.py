@@ -51,6 +51,8 @@ TEMPLATES = {
 
 #: A task hands on its counts of words when it holds half as many words as this.
 MERGE_TERMS = 1 << 21
+#: About so many words of segments are scored at a time.
+SCORED_WORDS = 1 << 18
 
 
 class Scorer:
@@ -106,10 +108,21 @@ class Scorer:
         if len(some):
             own = segment[some]
             cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            dot[own[cut]] = np.add.reduceat(self.part[terms[some]] * count[some, None], cut, axis=0)
+            for lo, hi in _chunks(np.diff(np.append(cut, len(some)))):
+                mine = some[cut[lo] : cut[hi] if hi < len(cut) else None]
+                dot[own[cut[lo:hi]]] = np.add.reduceat(self.part[terms[mine]] * count[mine, None], cut[lo:hi] - cut[lo], axis=0)
         return dot / np.maximum(norm, 1e-300)[:, None]
 
 
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive items of about SCORED_WORDS in all; a larger one is alone."""
+    at, end = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + SCORED_WORDS, "right")))
+        yield at, to
+        at = to
+
+
 def condense(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, word, count) of the distinct words of the segments [start, stop)."""
     size = stop - start
@@ -189,11 +202,16 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
 
     def hopeful(words: np.ndarray, start: np.ndarray, stop: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, tuple]:
         """The segments that may reach bar, and the distinct words of them all."""
-        segment, word, count = condense(words, start, stop)
-        terms = scorer.term_of(word)
-        able = (scorer.cosines(segment, terms, count, scorer.idf[terms], len(start)) >= bar - 1e-9).any(1)
-        mine = able[segment]
-        return np.flatnonzero(able), ((np.cumsum(able) - 1)[segment[mine]], word[mine], count[mine])
+        parts, found = [(np.zeros(0, np.int64),) * 4], 0
+        for lo, hi in _chunks(stop - start):
+            segment, word, count = condense(words, start[lo:hi], stop[lo:hi])
+            terms = scorer.term_of(word)
+            able = (scorer.cosines(segment, terms, count, scorer.idf[terms], hi - lo) >= bar - 1e-9).any(1)
+            mine = able[segment]
+            parts.append((np.flatnonzero(able) + lo, (np.cumsum(able) - 1)[segment[mine]] + found, word[mine].view(np.int64), count[mine]))
+            found += able.sum()
+        which, segment, word, count = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        return which, (segment, word.view(np.uint64), count)
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):

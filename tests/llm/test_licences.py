@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_models import SF, cosines, words_of
 
@@ -94,3 +95,17 @@ def test_licence_files_declare_their_directory(spark):
     assert got["GPL-3.0/vendor/a.py"]["licence"] == "MIT" and got["MIT/b.py"]["licence_from"] == "notice" and got["c.py"]["licence"] is None
     notices = set(license_scan.TEMPLATES)
     assert len(got) == len(rows) and all(r["file_score"] is None or r["file_licence"] in notices for p, r in got.items() if p.startswith("prose/"))
+
+
+def test_segments_are_scored_in_chunks(monkeypatch):
+    scorer = license_scan.Scorer(license_scan.TEMPLATES, {})
+    scorer.weigh(9, np.arange(len(scorer.terms)) % 9)
+    rng = np.random.default_rng(1)
+    words = rng.choice(np.append(scorer.terms, np.arange(1, 40, dtype=np.uint64)), 3000)
+    start = np.sort(rng.integers(0, 2900, 400))
+    segment, word, count = license_scan.condense(words, start, start + rng.integers(1, 90, 400))
+    terms = scorer.term_of(word)
+    at_once = scorer.cosines(segment, terms, count, scorer.idf[terms], 400)
+    monkeypatch.setattr(license_scan, "SCORED_WORDS", 50)
+    assert len(list(license_scan._chunks(np.bincount(segment)))) > 50
+    assert np.allclose(scorer.cosines(segment, terms, count, scorer.idf[terms], 400), at_once) and at_once.max() > 0.5
