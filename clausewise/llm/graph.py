@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
-
-    Only a session without that setting, as in tests, gets a folder of its own.
-    """
+    """df, computed once and kept in the folder of spark.checkpoint.dir, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting a session on one machine, as in tests, gets a folder of
+    its own; on a cluster that is an error, for executors would not see the driver's."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    return folder
+
+
 def groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys of a partition that is sorted by them.
 

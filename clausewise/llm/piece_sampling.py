@@ -15,6 +15,7 @@ scores get the weights of Zipf's law, 1 / rank ** alpha.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -92,6 +93,11 @@ class Vocabulary:
         return np.where(hit, ids[at], -1)
 
 
+@functools.cache  # once in each worker process
+def _vocabulary(model_file: str, alpha: float) -> Vocabulary:
+    return Vocabulary(model_file, alpha)
+
+
 class Lattices:
     """The lattices of the units seen so far: nodes numbered unit by unit; per node its edges, with cumulated chances."""
 
@@ -110,10 +116,9 @@ class Lattices:
         """The first and the last node of each unit."""
         if self.seen.full():
             self.clear()
-        prefix = bytesops.prefix_hash(data)
-        number, new = self.seen.look_up(bytesops.span_hash(prefix, start, end))
+        number, new = self.seen.look_up(data, start, end)
         if len(new):
-            self._add(data, prefix, start[new], (end - start)[new])
+            self._add(data, bytesops.prefix_hash(data), start[new], (end - start)[new])
         first = self.first_node.values[number]
         return first, first + (end - start)
 
@@ -273,7 +278,7 @@ def encode(docs: DataFrame, model_file: str, seed: int = 0, alpha: float = 1.0,
     source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("__key"))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_file, alpha)
+        vocabulary = _vocabulary(model_file, alpha)
         lattices = Lattices(vocabulary)
         for b in bytesops.batches(source):
             keys = b.column("__key").to_numpy().view(U64)
@@ -300,7 +305,7 @@ def decode(encoded: DataFrame, model_file: str, column: str = "text") -> DataFra
     schema = T.StructType([encoded.schema[c] for c in others] + [T.StructField(column, T.StringType())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_file, 1.0)
+        vocabulary = _vocabulary(model_file, 1.0)
         for b in bytesops.batches(source):
             lists = b.column("pieces")
             count = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)

@@ -9,6 +9,7 @@ protocol covers retried tasks. A document's place among all ids follows from the
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,19 +19,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bytesops, range_coder, units
+from . import bytesops, graph, range_coder, units
 
-FILE, PIECE, REMEMBERED = 4_000_000, 1 << 20, 250_000
+FILE, PIECE, REMEMBERED = 4_000_000, 1 << 20, 400_000
+#: Bytes of new units that are encoded together.
+RUN = 1 << 13
 SCHEMA = "part int, seq int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, file binary"
 
 
+@functools.cache  # once in each worker process
+def _tokenizer(file: str):
+    """The tokenizer of a file, and the bytes of each of its ids, if the characters of its tokens stand for bytes."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    size = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        size[i] = len(token)
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        size[i] = len(token.content.encode())
+    return tokenizer, size
+
+
 class Encoder:
     """Ids of texts by a file of the tokenizers library. Units between blanks are encoded once and remembered."""
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer, self.size = _tokenizer(tokenizer_file)
         self.clear()
 
     def clear(self) -> None:
@@ -44,19 +59,47 @@ class Encoder:
         start, end = units.blank_units(data, offsets)
         if self.seen.full():
             self.clear()
-        number, new = self.seen.look_up(bytesops.span_hash(bytesops.prefix_hash(data), start, end))
+        number, new = self.seen.look_up(data, start, end)
         if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.array([len(x) for x in made], np.int64)
-            self.first.add(self.ids.size + np.cumsum(count) - count)
+            ids, first, count = self._encode(data, start[new], end[new])
+            self.first.add(first + self.ids.size)
             self.length.add(count)
-            self.ids.add(np.array([i for x in made for i in x], np.int32))
+            self.ids.add(ids)
         count = self.length.values[number]
         ids = self.ids.values[units.expand(self.first.values[number], count)]
         return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, offsets)]
 
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each unit begin, number of them). Units that begin with a blank and end without one are encoded in runs,
+        for no token joins one to the next; their ids are told apart by the tokens' bytes, as far as these add up."""
+        found, held = [], 0
+        first, count = np.full(len(start), -1), np.zeros(len(start), np.int64)
+        some = np.flatnonzero(units.BLANK[data[start]] & ~units.ends_blank(data, start, end))
+        size = (end - start)[some]
+        joined = data[units.expand(start[some], size)].tobytes()
+        stop = np.cumsum(size)
+        begin = np.append(0, stop)
+        cuts = np.unique(np.append(0, np.minimum(np.searchsorted(stop, np.arange(RUN, len(joined) + RUN, RUN)) + 1, len(some)))).tolist()
+        runs = list(zip(cuts, cuts[1:], strict=False))
+        for (lo, hi), ids in zip(runs, self._ids([joined[begin[lo] : begin[hi]] for lo, hi in runs]), strict=True):
+            reached = np.cumsum(self.size[ids]) + begin[lo]
+            at = np.searchsorted(reached, stop[lo:hi])
+            if len(ids) and at[-1] == len(ids) - 1 and np.array_equal(reached[at], stop[lo:hi]):
+                cut = np.append(0, at + 1)
+                first[some[lo:hi]], count[some[lo:hi]] = cut[:-1] + held, np.diff(cut)
+                found.append(ids)
+                held += len(ids)
+        raw = data.tobytes()
+        rest = np.flatnonzero(first < 0)
+        for k, ids in zip(rest.tolist(), self._ids([raw[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]), strict=True):
+            first[k], count[k] = held, len(ids)
+            found.append(ids)
+            held += len(ids)
+        return np.concatenate(found), first, count
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> None:
     """Write the ids of docs (doc_id, text), each document's ended with end_id, in order of doc_id.
@@ -65,7 +108,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> N
     that repeat a doc_id follow each other in order of their texts. The tokenizer file must be
     on every executor.
     """
-    ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    # samples of the range's keys go to the driver, so only the beginning of a text is one; it does not change the order
+    ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(first, F.substring("text", 1, 16)).sortWithinPartitions(first, "text")
 
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -130,6 +175,4 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share."""
-    import tempfile
-
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/tokens-{uuid.uuid4().hex}"
+    return f"{graph.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"

@@ -39,6 +39,12 @@ def blank_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return spans(first, len(data))
 
 
+def ends_blank(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span ends with white space, or may do so."""
+    last = data[end - 1]
+    return BLANK[last] | (_WIDE_LAST[last] & _WIDE_FIRST[data[np.maximum(end - 2, 0)]] & (end - start > 1))
+
+
 class Grow:
     """An array that grows at its end."""
 
@@ -57,24 +63,69 @@ class Grow:
         return self.array[: self.size]
 
 
+#: By a number of bytes from 0 to 8: the bits of a word that hold them.
+_HELD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SLOTS = 20
+
+
 class Seen:
-    """Numbers for hashes, in order of first sight; forgets all when it has over limit of them."""
+    """Numbers for units, in order of first sight; forgets all when it has over limit of them.
+
+    Units of up to 16 bytes are two words. A table of 2 ** _SLOTS places finds the last unit of each hash; it is taken
+    only if the words and the length are the same, so no two units share a number. Longer ones are looked up one by one.
+    A unit that lost its place to another gets a new number.
+    """
 
     def __init__(self, limit: int):
-        self.limit, self.number = limit, {}
+        self.limit, self.size = limit, 0
+        self.place = np.full(1 << _SLOTS, -1, np.int32)
+        self.words, self.length = (Grow(np.uint64), Grow(np.uint64)), Grow(np.int64)
+        self.long: dict[bytes, int] = {}
 
     def full(self) -> bool:
-        return len(self.number) > self.limit
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each hash, and the places of the first sight of the new ones, in order of their numbers."""
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        get, known = self.number.get, len(self.number)
-        numbers = np.array([get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(numbers < 0)
-        numbers[new] = np.arange(known, known + len(new))
-        self.number.update(zip(distinct[new].tolist(), numbers[new].tolist(), strict=True))
-        return numbers[inverse], where[new]
+        return self.size > self.limit
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each unit, and the places of the first sight of the new ones, in order of their numbers."""
+        length = end - start
+        padded = np.append(data, np.zeros(16, np.uint8))
+        window = np.ndarray((len(data) + 9,), np.dtype("<u8"), padded, strides=(1,))
+        words = window[start] & _HELD[np.minimum(length, 8)], window[np.minimum(start + 8, len(data))] & _HELD[np.clip(length - 8, 0, 8)]
+        hashes = bytesops.mix(words[0] * np.uint64(0x9E3779B97F4A7C15) + bytesops.mix(words[1] + length.astype(np.uint64)))
+        slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        out = self.place.take(slot).astype(np.int64)
+        known = out >= 0
+        known[known] = self._same(words, length, np.flatnonzero(known), out[known])
+        known &= length <= 16
+        some = np.flatnonzero(~known & (length <= 16))
+        new = some[:0]
+        if len(some):
+            _, first, inverse = np.unique(hashes[some], return_index=True, return_inverse=True)
+            new = some[first]
+            out[some] = self.size + inverse
+            self._keep(words, length, new)
+            other = some[~self._same(words, length, some, out[some])]  # equal hashes of different units
+            out[other] = np.arange(self.size, self.size + len(other))
+            self._keep(words, length, other)
+            self.place[slot[new]] = out[new]
+            new = np.append(new, other)
+        raw, late = data.tobytes(), []
+        for k in np.flatnonzero(length > 16).tolist():
+            number = self.long.setdefault(raw[start[k] : end[k]], self.size + len(late))
+            if number == self.size + len(late):
+                late.append(k)
+            out[k] = number
+        late = np.array(late, np.int64)
+        self._keep(words, length, late)
+        return out, np.append(new, late)
+
+    def _same(self, words: tuple, length: np.ndarray, which: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (self.words[0].values[number] == words[0][which]) & (self.words[1].values[number] == words[1][which]) & (self.length.values[number] == length[which])
+
+    def _keep(self, words: tuple, length: np.ndarray, which: np.ndarray) -> None:
+        for held, own in zip((*self.words, self.length), (*words, length), strict=True):
+            held.add(own[which])
+        self.size += len(which)
 
 
 def expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from clausewise.llm import piece_sampling, queries, range_coder, token_store
+from clausewise.llm import bytesops, piece_sampling, queries, range_coder, token_store
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "\n\n", "a  b\n\n c ", "x  y  z　　 w", "naïve été, 中文字 😀 «да»", "it's we'll  don't", "a<|endoftext|> b <|endoftext|>", "▁ ▁▁x", "tab\t tab\r\n end ", "é" * 700, "0123456789" * 40, "q\x1c\x1d r\x85 s  t"]
@@ -18,23 +19,61 @@ ODD = ["", " ", "\n\n", "a  b\n\n c ", "x  y  z　　 w", "naïve été, 中
 
 def test_range_coder_round_trips():
     rng = np.random.default_rng(0)
-    for ids in ([], [65535], np.zeros(5000), rng.integers(0, 65536, 9000), rng.zipf(1.3, 9000) % 50257, np.tile(rng.integers(0, 50257, 30), 300)):
+    for ids in ([], [65535], np.zeros(5000), rng.integers(0, 65536, 9000), rng.zipf(1.3, 9000) % 50257, np.tile(rng.integers(0, 50257, 30), 300), [2**32 - 1, 0, 70_000], rng.integers(0, 1 << 32, 20_000)):
         ids = np.asarray(ids, np.int64)
         for block, lanes in ((4096, 1024), (100, 7)):
             assert np.array_equal(range_coder.decode(range_coder.encode(ids, block, lanes), lanes), ids)
     repetitive = range_coder.encode(np.tile(rng.integers(0, 50257, 30), 300))
-    assert len(repetitive) < 1500
+    assert len(repetitive) < 9000
+
+
+def test_range_coder_carries():
+    """One id is all but certain, so that spans stay large and carries run far."""
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.01, 0.0005):
+        ids = np.where(rng.random(200_000) < share, rng.integers(0, 3000, 200_000), 2999)
+        assert np.array_equal(range_coder.decode(range_coder.encode(ids, 512)), ids)
+
+
+def test_range_coder_blocks_are_independent():
+    """A block is read with the header alone."""
+    ids = np.random.default_rng(2).zipf(1.5, 5000) % 5000
+    file = range_coder.encode(ids, 1000)
+    size = struct.unpack_from("<I", file, 16)[0]
+    at, blocks = 20 + size, []
+    while at < len(file):
+        length = struct.unpack_from("<III", file, at)[2]
+        blocks.append(file[at : at + 12 + length])
+        at += 12 + length
+    alone = file[:8] + struct.pack("<Q", 1000) + file[16 : 20 + size] + blocks[3]
+    assert len(blocks) == 5 and np.array_equal(range_coder.decode(alone), ids[3000:4000])
+
+
+def test_range_coder_beats_static_order_0(spark):
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toArrow().sort_by("doc_id")
+    parts = [encoder(data, offsets)[0] for _, _, data, offsets in bytesops.pieces(docs.column("text"))]
+    ids = np.concatenate(parts)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    file = range_coder.encode(ids)
+    assert 8 * len(file) < 0.85 * len(ids) * -(share * np.log2(share)).sum()
+    assert np.array_equal(range_coder.decode(file), ids)
 
 
 def test_range_coder_notices_damage():
     file = bytearray(range_coder.encode(np.arange(3000)))
-    file[200] ^= 1
+    file[-200] ^= 1
     with pytest.raises(ValueError):
         range_coder.decode(bytes(file))
+    file[-200] ^= 1
+    file[40] ^= 1
     with pytest.raises(ValueError):
-        range_coder.decode(range_coder.encode(np.arange(3000))[:-5])
+        range_coder.decode(bytes(file))
     with pytest.raises(ValueError):
-        range_coder.encode(np.array([70000]))
+        range_coder.decode(range_coder.encode(np.arange(3000))[:-5])
+    for bad in (-1, 1 << 32):
+        with pytest.raises(ValueError):
+            range_coder.encode(np.array([bad]))
 
 
 def by_library(rows):
@@ -58,6 +97,34 @@ def test_op6_equals_the_library(spark, tmp_path):
     assert queries.op6_token_files(spark, SF).count() == len(docs)
 
 
+def thue_morse(n, a="a", b="b"):
+    """Texts whose polynomial hashes modulo 2 ** 64 are those of their complements, for any base."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 2048, 4096])
+def test_op6_tells_crafted_texts_apart(n):
+    encoder, texts = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json")), [thue_morse(n), thue_morse(n, "b", "a")]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        for text in texts:
+            ids, before = encoder(np.frombuffer(text.encode(), np.uint8), np.array([0, n]))
+            assert ids[: before[1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_op6_equals_the_library_beyond_its_memory(spark):
+    """Units that lose their place to others, and a memory that is cleared."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(ODD) + str(rng.randrange(10**rng.randrange(1, 25))) for _ in range(400)) for _ in range(60)]
+    encoder, library = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.seen.limit, encoder.seen.place = 4000, encoder.seen.place
+    for _ in range(2):
+        for text in texts:
+            data = text.encode()
+            ids, _ = encoder(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_op6_empty_table(spark, tmp_path):
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
     assert token_store.read(spark, str(tmp_path / "t")).collect() == []
