@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Like cut, as a written table: smaller than a checkpoint, but it stays when the session no longer needs it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Without that setting a session on one machine, as in tests, gets a folder of
     its own; on a cluster that is an error, for executors would not see the driver's."""

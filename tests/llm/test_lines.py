@@ -34,7 +34,7 @@ def brute(rows, near_chars):
                 keep.append(x)
             if s and s not in seen:
                 seen.add(s)
-                if len(s) >= near_chars:
+                if len(s) >= near_chars - 1:
                     long.append(s)
         new = None if text is None else "\n".join(keep)
         out.append((k, total, gone, hashlib.sha256((new or "").encode()).hexdigest(), new))
@@ -54,6 +54,8 @@ def test_op5_equals_brute_force(spark):
         lines = [near_edits(rng, rng.choice(pool)) for _ in range(4)] + [f"unique line number {rng.random()}"] + [rng.choice(pool)]
         docs.append((10_000 + k, "\n".join(rng.sample(lines, 6)) + rng.choice(["", "\n", "\n\n"])))
     docs += [(20_000 + k, f"a line of a large group of near lines {chr(97 + k % 26)}\nshort {k % 7}") for k in range(300)]
+    short = [f"ab {k:05d}" for k in range(0, 400, 7)] + ["1234567", "12345678", "1234567x", "\u00e9" * 7, "\u00e9" * 8]
+    docs += [(25_000 + k, "\n".join(rng.sample(short, 3))) for k in range(40)]
     docs += [(30_000, None), (30_001, ""), (30_002, " \n\t\n"), (30_003, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (30_004, "aaaaaaaaaaaaaaaaaaaaaaaaaaa"), (30_005, "x" * 70_000), (30_006, "x" * 70_001)]
     df = spark.createDataFrame([(*r, 1) for r in random.Random(1).sample(docs, len(docs))], "doc_id long, text string, n_lines int")
     got = sorted(line_dedup.deduplicate(df).select("doc_id", "n_lines", "n_removed", "kept_sha256", "text").collect())
@@ -63,6 +65,14 @@ def test_op5_equals_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {w[0] for w in want if not w[1] or w[2] < w[1]}
 
 
+def test_op5_tells_crafted_lines_apart(spark):
+    """Lines whose polynomial hashes modulo 2 ** 64 are equal for any base."""
+    texts = [(k, "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n))) for n in (2048, 4096) for k in range(2)]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(9, texts[1][1])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {9: ""}
+
+
 def test_op5_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.deduplicate(empty).collect() == []
@@ -76,10 +86,11 @@ def test_op5_edge_cases(spark):
 def test_frames_lose_no_neighbour(regions):
     rng = random.Random(2)
     for _ in range(300):
-        line = "".join(rng.choice("ab") for _ in range(rng.randrange(16, 50)))
+        line = "".join(rng.choice("ab") for _ in range(rng.randrange(8, 50)))
         other = near_edits(rng, line)
         keys = []
         for x in (line, other):
-            chars = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-            keys.append(set(line_dedup.frames(bytesops.prefix_hash(chars), np.array([0]), np.array([len(x)]), regions)[0].tolist()))
+            data = np.frombuffer(x.encode(), np.uint8)
+            place, before = line_dedup.characters(data)
+            keys.append(set(line_dedup.frames(bytesops.prefix_hash(data), place, before[[0]], before[[len(data)]], regions)[0].tolist()))
         assert keys[0] & keys[1]
