@@ -7,12 +7,14 @@ bounds the temporary arrays whatever the size of a batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+LONG_WORD = 256
 U64 = np.uint64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -107,11 +109,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD)
     return start, end, np.searchsorted(start, offsets)
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words. Polynomials modulo 2 ** 64 agree for some long texts, whatever the base, so the hashes of words of
+    over LONG_WORD bytes are parts of their digests."""
+    out = span_hash(prefix_hash(data), start, end)
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits of a digest of the words of each text, as they follow each other (texts x 2); data is lower-cased."""
+    inside = WORD[data]
+    behind = np.append(False, inside[:-1])[: len(data)]
+    behind[offsets[:-1][offsets[:-1] < len(data)]] = False
+    keep = inside | behind
+    raw = np.where(inside, data, 32).astype(np.uint8)[keep].tobytes()
+    cut = np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+    parts = [hashlib.blake2b(raw[a:b].strip(b" "), digest_size=16).digest() for a, b in zip(cut, cut[1:], strict=False)]
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each lower-cased word, and the number of words before each text."""
     data = LOWER[data]
     start, end, before = word_spans(data, offsets)
-    return span_hash(prefix_hash(data), start, end), before
+    return word_hash(data, start, end), before
 
 
 def shingles(words: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

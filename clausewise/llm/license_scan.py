@@ -219,7 +219,7 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
                 n = end - at
                 low = bytesops.LOWER[data]
                 start, stop, before = bytesops.word_spans(low, offsets)
-                words = bytesops.span_hash(bytesops.prefix_hash(low), start, stop)
+                words = bytesops.word_hash(low, start, stop)
                 terms = scorer.term_of(words)
                 text = np.repeat(np.arange(n), np.diff(before))
                 feeds = np.concatenate([[0], np.cumsum(data == 10)])

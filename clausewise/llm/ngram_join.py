@@ -1,6 +1,6 @@
 """Jaccard self-join of documents on their sets of word n-grams: MinHash banding, exact verification.
 
-1. One pass over the texts gives each document a fingerprint of its words and the hashes of
+1. One pass over the texts gives each document a digest of its words and the hashes of
    its bands. Documents with the same words form a class; one representative goes on.
 2. Representatives that share a band are linked to the least one in it (an aggregate and a
    join by the band's hash), and the components of those links are the candidate groups.
@@ -24,9 +24,9 @@ from . import bytesops, graph
 
 #: N-grams and documents that one part of a group holds, about; a group of over SPLIT documents is cut
 #: into up to SPREAD parts all the same, so that its pairs of parts are spread over many tasks.
-PART_GRAMS, PART_DOCS, SPLIT, SPREAD = 1_000_000, 1024, 224, 12
-#: Documents compared at a time.
-TILE = 768
+PART_GRAMS, PART_DOCS, SPLIT, SPREAD = 200_000, 512, 112, 12
+#: Documents compared at a time, and n-grams looked up at a time.
+TILE, PROBES = 512, 250_000
 
 
 def plan(threshold: float, recall: float, hashes: int = 224) -> tuple[int, int]:
@@ -60,7 +60,7 @@ def band_hashes(grams: np.ndarray, before: np.ndarray, bands: int, rows: int) ->
 
 
 def fingerprints(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, th (hash of the text), h1, h2 (of the words; null without words), grams, bands; for each row of docs."""
+    """doc_id, th (hash of the text), h1, h2 (a digest of the words; null without words), grams, bands; for each row of docs."""
 
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):
@@ -68,19 +68,14 @@ def fingerprints(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 words, cut = bytesops.word_hashes(data, offsets)
                 grams, before = bytesops.shingles(words, cut, n)
                 full = np.flatnonzero(np.diff(cut))
-                h = np.zeros((2, end - at), np.uint64)
-                if len(full):
-                    place = np.arange(len(words)) - np.repeat(cut[:-1], np.diff(cut))
-                    for k in range(2):
-                        power = bytesops.powers((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[k], int(place.max()) + 1)[place]
-                        h[k, full] = bytesops.mix(np.add.reduceat(words * power, cut[:-1][full]))
+                h = bytesops.digests(bytesops.LOWER[data], offsets)
                 lists = np.zeros((end - at, bands), np.uint64)
                 if len(full):
                     starts = np.append(before[:-1][full], before[-1])
                     lists[full] = band_hashes(grams, starts, bands, rows)
                 none = np.diff(cut) == 0
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1) * bands, pa.int32()), pa.array(lists.ravel().view(np.int64)))
-                made = [pa.array(h[k].view(np.int64), mask=none) for k in range(2)] + [pa.array(np.diff(before)), bits]
+                made = [pa.array(h[:, k], mask=none) for k in range(2)] + [pa.array(np.diff(before)), bits]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, end - at) for c in ("doc_id", "th")], *made], ["doc_id", "th", "h1", "h2", "grams", "bands"])
 
     source = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
@@ -154,7 +149,7 @@ def shared(a: np.ndarray, b: np.ndarray, coded: np.ndarray, cut: np.ndarray, nam
     first = np.concatenate([[0], np.cumsum(length)])
     swap = length[ia] > length[ib]
     less, more = np.where(swap, ib, ia), np.where(swap, ia, ib)
-    per = max(1, 2_000_000 // max(1, int(length.max())))
+    per = max(1, PROBES // max(1, int(length.max())))
     for at in range(0, len(a), per):
         x, y = less[at : at + per], more[at : at + per]
         pair = np.repeat(np.arange(len(x)), length[x])
@@ -171,16 +166,17 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
     Words are lower-cased runs of digits, letters and non-ASCII characters. class_id is the least id
     of the documents with the same words; n_links counts the other documents whose Jaccard
     similarity reaches the threshold, those of the class included; component_id is the least id that
-    links reach; kept marks it. th is the hash of the text. A text of fewer than n words, but not
+    links reach; kept marks one row of that id, that of the least th. th is the hash of the text. A text of fewer than n words, but not
     none, has one n-gram; texts without words (null, empty) link with nothing, and so do rows
-    without doc_id, whose class and component are null. Rows that repeat an id count each; of rows
-    with the same id and the same words all are marked as kept if one is.
+    without doc_id, whose class and component are null. Rows that repeat an id count each, whether
+    their texts differ or not; rows that repeat id and text are all marked as kept if one is.
     """
     bands, rows = plan(threshold, recall)
     marked = graph.cut(fingerprints(docs, n, bands, rows))
     usable = F.col("h1").isNotNull() & F.col("doc_id").isNotNull()
     classes = marked.filter(usable).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.count("*").alias("size"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
-    classes = graph.cut(classes.select("h1", "h2", F.col("own.doc_id").alias("rep"), F.col("own.th").alias("th"), "size", "grams", "bands"))
+    classes = classes.select("h1", "h2", F.col("own.doc_id").alias("doc"), F.col("own.th").alias("th"), "size", "grams", "bands")
+    classes = graph.cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # kept, so the numbers do not change
     spread = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     least = spread.groupBy("band", "bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
     candidate = spread.join(least.drop("n"), ["band", "bucket"]).filter("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
@@ -190,8 +186,8 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
     need = F.greatest(F.ceil(F.sum("grams") / PART_GRAMS), F.ceil(count / PART_DOCS), F.least(F.ceil(count / SPLIT), F.lit(SPREAD)))
     parts = members.groupBy("grp").agg(need.cast("int").alias("np"))
     members = members.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("np")).cast("int"))
-    text = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").withColumns({"th": F.xxhash64("text")})
-    sets = text.join(members.select("rep", "th", "grp", "size", "np", "own", "bands"), ["rep", "th"])
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").withColumns({"th": F.xxhash64("text")})
+    sets = text.join(members.select("doc", "th", "rep", "grp", "size", "np", "own", "bands"), ["doc", "th"])
     placed = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("other"))
     keys = ["grp", "low", "high"]
     placed = placed.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "size", "bands", "text")
@@ -220,21 +216,23 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
 
     linked = graph.cut(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "rep bigint, links bigint, root bigint"))
     components = graph.connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    per_rep = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(components, "rep", "left")
-    known = classes.select("h1", "h2", "rep", "size").join(per_rep, "rep", "left")
+    own = classes.select("h1", "h2", "rep", "doc", F.col("th").alias("own_th"), "size")
+    leader = components.join(own, "rep").groupBy("component").agg(F.min(F.struct("doc", "own_th")).alias("leader"))
+    per_rep = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(components, "rep").join(leader, "component").select("rep", "links", "leader")
+    known = own.join(per_rep, "rep", "left").withColumn("leader", F.coalesce("leader", F.struct("doc", "own_th")))
     out = marked.select("doc_id", "th", F.when(usable, F.col("h1")).alias("h1"), "h2").join(known, ["h1", "h2"], "left")
-    component = F.coalesce("component", "rep", "doc_id")
     return out.select(
         "doc_id",
         "th",
-        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.coalesce("doc", "doc_id").alias("class_id"),
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.coalesce("leader.doc", "doc_id").alias("component_id"),
+        (F.col("leader").isNull() | F.col("leader").eqNullSafe(F.struct(F.col("doc_id").alias("doc"), F.col("th").alias("own_th")))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """docs with one document of each group of linked ones, the one of least id; all columns are kept."""
+    """docs with one document of each group of linked ones, the one of least id (of least hash of the text, if several
+    rows have it); all columns are kept. Rows that repeat id and text stay or go together."""
     gone = links(docs, n, threshold, recall).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     return docs.join(gone, (docs["doc_id"].cast("bigint") == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left_anti")
