@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows that are broadcast at most; more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Windows of each length that begin in one part of a text.
+PART = 64
 
 
 def words_of(text: Column) -> Column:
@@ -34,7 +36,8 @@ def windows_of(words: Column, n: int) -> Column:
 
 
 def _probes(words: Column, n: int) -> Column:
-    return F.transform(windows_of(words, n), lambda h, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), h.alias("h")))
+    """The windows that begin in a part; the words behind its first PART are there to complete them."""
+    return F.slice(F.transform(windows_of(words, n), lambda h, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), h.alias("h"))), 1, PART)
 
 
 def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
@@ -56,22 +59,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     windows = item_windows(benchmark, n)
     per_len = {r["len"]: r["rows"] for r in windows.groupBy("len").agg(F.count("*").alias("rows")).collect()}  # n rows at most
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
-    head = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h")))
+    head = F.when(F.col("part") == 0, F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h"))))
+    head = F.coalesce(head, F.array().cast("array<struct<pos:int,len:int,h:bigint>>"))
+    # every row of a window carries the words it is verified by, so texts are first cut into parts of PART windows
+    longest = max(per_len, default=1)
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(PART)), lambda i: F.slice("w", i, PART + longest - 1))
+    base = base.select("doc_id", "th", F.size("w").alias("size"), F.posexplode(parts).alias("part", "w"))
     probes = [_probes(F.col("w"), size) for size in sorted(per_len)]
-    # The row at pos 0 stands for the document itself and is never joined away.
+    # The row at pos 0 of the first part stands for the document itself and is never joined away.
+    place = F.when(F.col("pos") > 0, F.col("part") * PART + F.col("pos")).otherwise(0).alias("pos")
     if sum(per_len.values()) <= BROADCAST_WINDOWS:
-        probe = base.select("doc_id", "th", "w", F.explode(F.concat(head, *probes)).alias("p")).select("doc_id", "th", "w", "p.*")
+        probe = base.select("doc_id", "th", "size", "part", "w", F.explode(F.concat(head, *probes)).alias("p")).select("doc_id", "th", "size", "part", "w", "p.*")
         found = probe.join(F.broadcast(windows.withColumnRenamed("len", "wlen")), "h", "left")
         found = found.filter((F.col("pos") == 0) | (F.col("words") == F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("len")), " ")))
-        found = found.select("doc_id", "th", "pos", "len", "items", F.when(F.col("pos") == 0, F.size("w")).alias("n"))
+        found = found.select("doc_id", "th", place, "len", "items", F.when(F.col("pos") == 0, F.col("size")).alias("n"))
     else:
-        probe = base.select("doc_id", "th", F.explode(F.concat(*probes)).alias("p")).select("doc_id", "th", "p.*")
+        probe = base.select("doc_id", "th", "part", F.explode(F.concat(*probes)).alias("p")).select("doc_id", "th", "part", "p.*")
         near = probe.join(windows.select("h", "words", "items"), "h")
-        exact = near.join(base.dropDuplicates(["doc_id", "th"]), [near["doc_id"].eqNullSafe(base["doc_id"]), near["th"] == base["th"]]).filter(
+        exact = near.join(base.dropDuplicates(["doc_id", "th", "part"]), [near["doc_id"].eqNullSafe(base["doc_id"]), near["th"] == base["th"], near["part"] == base["part"]]).filter(
             F.col("words") == F.array_join(F.slice("w", F.col("pos"), F.col("len")), " ")
         )
-        exact = exact.select(near["doc_id"], near["th"], "pos", "len", "items", F.lit(None).cast("int").alias("n"))
-        own = base.select("doc_id", "th", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast(exact.schema["items"].dataType).alias("items"), F.size("w").alias("n"))
+        exact = exact.select(near["doc_id"], near["th"], (near["part"] * PART + F.col("pos")).alias("pos"), "len", "items", F.lit(None).cast("int").alias("n"))
+        own = base.filter("part = 0").select("doc_id", "th", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast(exact.schema["items"].dataType).alias("items"), F.col("size").alias("n"))
         found = own.unionByName(exact)
     per_doc = found.groupBy("doc_id", "th").agg(
         F.count("n").alias("copies"),

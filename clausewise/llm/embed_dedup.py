@@ -45,7 +45,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     good = (F.col("embedding").isNotNull()) & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     keyed = vectors.select("vec_id", "embedding", F.coalesce(good, F.lit(False)).alias("good"))
     keyed = keyed.withColumns({"h1": F.when(F.col("good"), F.xxhash64("embedding")), "h2": F.when(F.col("good"), F.xxhash64(F.lit("second"), "embedding"))})
-    reps = graph.cut(keyed.filter("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding")))
+    reps = keyed.filter("good").groupBy("h1", "h2").agg(F.min("vec_id").cast("bigint").alias("vec"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    reps = graph.cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # kept, so the numbers do not change
     bits, tables = plan(reps.count(), threshold, recall)
 
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,14 +62,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
                     planes[w] = np.random.default_rng([SEED, int(w)]).normal(size=(int(w), bits * tables))
                 # every component stays finite in products of large values
                 signs = (x / np.abs(x).max(1, keepdims=True)) @ planes[w] > 0
-                code = signs.reshape(len(rows), tables, bits) @ (1 << np.arange(bits)) + (int(w) << 24)
-                signature = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(code.ravel().astype(np.int64)))
+                code = signs.reshape(len(rows), tables, bits) @ (1 << np.arange(bits))
+                signature = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(code.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("size"), part.column("embedding"), signature], ["rep", "size", "embedding", "signature"])
 
     kind = reps.schema["embedding"].dataType.elementType.simpleString()
-    signed = reps.select("rep", "size", "embedding").mapInArrow(sign, f"rep bigint, size bigint, embedding array<{kind}>, signature array<bigint>")
-    spread = signed.select("*", F.posexplode("signature").alias("tab", "bucket"))
-    hot = signed.select(F.posexplode("signature").alias("tab", "bucket")).groupBy("tab", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    signed = reps.select("rep", "size", "embedding").mapInArrow(sign, f"rep bigint, size bigint, embedding array<{kind}>, signature array<int>")
+    place = F.posexplode("signature").alias("tab", "code")
+    bucket = (F.size("embedding").cast("bigint") * (1 << 24) + F.col("code")).alias("bucket")  # vectors of other lengths are never near
+    spread = signed.select("*", place).select("rep", "size", "embedding", "signature", "tab", bucket)
+    hot = signed.select("embedding", place).select("tab", bucket).groupBy("tab", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     placed = spread.join(hot, ["tab", "bucket"], "left").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
@@ -103,10 +106,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
 
     linked = graph.cut(placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "rep bigint, links bigint, root bigint"))
     components = graph.connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    known = reps.select("h1", "h2", "rep", "size").join(links, "rep", "left")
+    components = components.withColumnRenamed("id", "rep")
+    own = reps.select("h1", "h2", "rep", "vec", "size")
+    least = components.join(own, "rep").groupBy("component").agg(F.min("vec").alias("least"))
+    links = linked.groupBy("rep").agg(F.sum("links").alias("links")).join(components, "rep").join(least, "component").select("rep", "links", "least")
+    known = own.join(links, "rep", "left")
     out = keyed.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("least", "vec", "vec_id")
     return out.select(
         "vec_id",
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"),

@@ -153,7 +153,9 @@ def fit(docs: DataFrame, labelled: Column, per_language: int = TEXTS_PER_LANGUAG
                     picks = np.unique(np.linspace(before[i], before[i + 1] - 1, WINDOWS_PER_TEXT).astype(np.int64))
                     yield pa.record_batch([pa.array([lang[at + i]] * len(picks)), pa.array([cut[p].tobytes() for p in picks], pa.binary())], ["lang", "bytes"])
 
-    got = chosen.mapInArrow(cut_up, "lang string, bytes binary").limit(2 * MAX_WINDOWS).toArrow()
+    cuts = chosen.mapInArrow(cut_up, "lang string, bytes binary")
+    # hashes let through a few more or less than they should; the bound itself is exact and goes by rank
+    got = cuts.withColumn("place", F.xxhash64("bytes", "lang")).orderBy("place", "lang", "bytes").limit(2 * MAX_WINDOWS).drop("place").toArrow()
     cut = np.frombuffer(b"".join(got.column("bytes").to_pylist()), np.uint8).reshape(-1, WINDOW)
     label = np.array([languages.index(x) for x in got.column("lang").to_pylist()], np.int64)
     order = np.lexsort([label, [hash_of(c) for c in cut]])  # the same whatever the order of arrival
@@ -197,15 +199,17 @@ def _scorer(model: Model):
     return score
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, reject_below: float | None = None) -> DataFrame:
-    """docs with lang_pred and score (columns of these names are replaced).
+def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, reject_below: float | None = None, short: tuple[int, float] | None = None, labels: bool = True) -> DataFrame:
+    """docs with lang_pred and score (columns of these names are replaced), or without them, if labels is false.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every text
     if the model is None. keep: the columns that are returned with them (all by default).
-    reject_below: leave out the rows with ``und`` or a lower score.
+    reject_below: leave out the rows with ``und`` or a lower score. short: a number of bytes, and the least score of
+    texts of fewer bytes than that.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    made = {"lang_pred": T.StringType(), "score": T.DoubleType()} if labels else {}
+    keep = [c for c in docs.columns if c not in made] if keep is None else keep
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, kind) for c, kind in made.items()])
     source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +227,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                 none = ~lettered[at:end]
                 best[none], value[none] = -1, 0
                 names = pa.array([UNKNOWN if k < 0 else model.languages[k] for k in best], pa.string())
-                out = pa.RecordBatch.from_arrays([*[b.column(c).slice(at, end - at) for c in keep], names, pa.array(value)], [*keep, "lang_pred", "score"])
-                yield out if reject_below is None else out.filter(pa.array((best >= 0) & (value >= reject_below)))
+                out = pa.RecordBatch.from_arrays([*[b.column(c).slice(at, end - at) for c in keep], *[names, pa.array(value)][: len(made)]], [*keep, *made])
+                bar = reject_below if short is None else np.where(np.diff(offsets) < short[0], short[1], reject_below)
+                yield out if reject_below is None else out.filter(pa.array((best >= 0) & (value >= bar)))
 
     return source.mapInArrow(predict, schema)

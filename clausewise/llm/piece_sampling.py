@@ -7,15 +7,17 @@ each edge is drawn with its share of that sum, so a segmentation comes up with i
 probability. Draws are a function of the row's key, the place in the text and a seed, hence the
 same on every run and machine.
 
-Pieces never cross the start of a run of blanks or a line end, so lattices are built per unit
-between those; each distinct unit once, all new units of a batch at a time. A unit of over LONGEST
-bytes is cut at character boundaries. Files with merge ranks instead of log probabilities as
-scores get the weights of Zipf's law, 1 / rank ** alpha.
+Pieces never cross the start of a run of blanks or a line end (models where one does are refused),
+so lattices are built per unit between those; each distinct unit once, all new units of a batch at a
+time. A node that no edge spans is on every path, so the sums begin anew there: long units take as
+many steps as their longest run without such a node. Files with merge ranks instead of log
+probabilities as scores get the weights of Zipf's law, 1 / rank ** alpha.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 
 from . import bytesops, units
 
-LONGEST, REMEMBERED, PIECE = 64, 120_000, 1 << 20
+#: Units and nodes of lattices that are remembered, about; bytes of text that are taken at a time.
+REMEMBERED, NODES, PIECE = 120_000, 2_000_000, 1 << 20
 MARK = "▁"
 U64 = np.uint64
 
@@ -52,6 +55,8 @@ class Vocabulary:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 self.bytes[i] = p.id_to_piece(i).replace(MARK, " ").encode()
                 plain.append(i)
+                if re.search(rb"[^ ] |.\n|\n.", self.bytes[i], re.DOTALL):
+                    raise ValueError(f"piece {i} goes on over the start of a run of blanks or a line end")
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces, so not every text could be decoded again")
         ranks = all(s == round(s) for s in score[plain]) and score[plain].min() < -1000
@@ -114,7 +119,7 @@ class Lattices:
 
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first and the last node of each unit."""
-        if self.seen.full():
+        if self.seen.full() or self.nodes > NODES:
             self.clear()
         number, new = self.seen.look_up(data, start, end)
         if len(new):
@@ -150,15 +155,18 @@ class Lattices:
         piece.append(v.byte_id[data[at[bare]]])
         source, size, piece = (np.concatenate(x) for x in (source, size, piece))
         target = source + size
-        place = np.zeros(int(base[-1] + length[-1] + 1), np.int64)
-        place[units.expand(base, length + 1)] = units.expand(np.zeros_like(length), length + 1)
-        # forward, by place in the unit; a node has one edge of each size at most, so no two keys are equal
+        count = int(base[-1] + length[-1] + 1)
+        spanned = np.cumsum(np.bincount(source + 1, minlength=count + 1) - np.bincount(target, minlength=count + 1))[:count]
+        free = spanned == 0  # nodes that no edge spans, the ends of units among them
+        # places count from the free node before a node; at a free node also that from the one before it
+        since = np.maximum.accumulate(np.where(free, np.arange(count), 0))
+        place = np.arange(count) - np.where(free, np.append(0, since[:-1]), since)
+        # forward, by place; a node has one edge of each size at most, so no two keys are equal
         order = np.argsort((place[target] * len(place) + target << 8) + size)
         s, t, w = source[order], target[order], v.weight[piece[order]]
-        forward = np.full(len(place), -np.inf)
-        forward[base] = 0
+        forward = np.where(free, 0.0, -np.inf)
         chance = np.empty(len(s))
-        steps = np.searchsorted(place[t], np.arange(1, length.max() + 2))
+        steps = np.searchsorted(place[t], np.arange(1, place[t].max() + 2))
         for lo, hi in zip(steps, steps[1:], strict=False):
             if lo == hi:
                 continue
@@ -168,7 +176,8 @@ class Lattices:
             most = np.maximum.reduceat(value, cut)
             share = np.exp(value - np.repeat(most, count))
             total = np.add.reduceat(share, cut)
-            forward[t[lo:hi][cut]] = most + np.log(total)
+            ends = t[lo:hi][cut]
+            forward[ends] = np.where(free[ends], 0, most + np.log(total))
             chance[lo:hi] = share / np.repeat(total, count)
         by_node = np.argsort((t << 28) + (((1 - chance) * (1 << 20)).astype(np.int64) << 8) + (t - s))  # likely edges first
         s, t, chance = s[by_node], t[by_node], chance[by_node]
@@ -223,17 +232,7 @@ def cut_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first = line.copy()
     first[1:] |= (blank[1:] & ~blank[:-1]) | line[:-1]
     first[units.text_starts(offsets)] = True
-    start, end = units.spans(first, len(data))
-    long = np.flatnonzero(end - start > LONGEST)
-    if len(long):
-        more = (end - start)[long] // (LONGEST - 4)
-        at = np.repeat(start[long], more) + (units.expand(np.zeros_like(more), more) + 1) * (LONGEST - 4)
-        at = at[at < np.repeat(end[long], more)]
-        for _ in range(3):
-            at = at + ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
-        first[at[at < len(data)]] = True
-        start, end = units.spans(first, len(data))
-    return start, end
+    return units.spans(first, len(data))
 
 
 def encode_piece(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,18 +261,19 @@ def decode_piece(vocabulary: Vocabulary, pieces: np.ndarray, before: np.ndarray)
     return data[keep], np.concatenate([[0], np.cumsum(np.diff(offsets) - full)])
 
 
-def encode(docs: DataFrame, model_file: str, seed: int = 0, alpha: float = 1.0, keep: list[str] | None = None, digest: bool = False, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, seed: int = 0, alpha: float = 1.0, keep: list[str] | None = None, digest: bool = False, decoded: str | None = None, checks: bool = True) -> DataFrame:
     """docs with pieces (array<int>), n_pieces, pieces_crc32 (of the ids as little-endian 32-bit integers) and
     lossless (whether decoding gives the text back, which is checked for every row).
 
     The draws follow seed and doc_id alone, so rows that repeat both get the same pieces for the same text.
     Null texts count as empty; empty texts have no pieces. Columns of docs with these names are replaced.
-    keep: the columns returned with them (all by default); digest: leave out pieces; decoded: add the text
-    that the pieces give again as the column decoded.
+    keep: the columns returned with them (all by default); digest: leave out pieces; checks: with pieces_crc32 and
+    lossless; decoded: the name of a column for the text that the pieces give again.
     """
-    made = ["pieces", "n_pieces", "pieces_crc32", "lossless", *["decoded"] * decoded]
+    made = ["pieces", "n_pieces", *["pieces_crc32", "lossless"] * checks, *[decoded] * bool(decoded)]
     keep = [c for c in docs.columns if c not in made] if keep is None else keep
-    fields = [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("pieces_crc32", T.LongType()), T.StructField("lossless", T.BooleanType()), *[T.StructField("decoded", T.StringType())] * decoded]
+    kinds = {"pieces": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "pieces_crc32": T.LongType(), "lossless": T.BooleanType()}
+    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in made]
     schema = T.StructType([docs.schema[c] for c in keep] + fields[int(digest) :])
     source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("__key"))
 
@@ -288,8 +288,8 @@ def encode(docs: DataFrame, model_file: str, seed: int = 0, alpha: float = 1.0,
                 good = np.ones(end - at, bool)
                 if not (np.array_equal(upto, offsets) and np.array_equal(back, data)):
                     good[:] = [np.array_equal(back[upto[i] : upto[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(end - at)]
-                crc = [zlib.crc32(pieces[x:y].astype("<u4").tobytes()) for x, y in zip(before, before[1:], strict=False)]
-                arrays = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(pieces)), pa.array(np.diff(before)), pa.array(crc, pa.int64()), pa.array(good), *[_text(back, upto)] * decoded]
+                crc = checks and [zlib.crc32(pieces[x:y].astype("<u4").tobytes()) for x, y in zip(before, before[1:], strict=False)]
+                arrays = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(pieces)), pa.array(np.diff(before)), *([pa.array(crc, pa.int64()), pa.array(good)] if checks else []), *([_text(back, upto)] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, end - at) for c in keep], *arrays[int(digest) :]], [*keep, *made[int(digest) :]])
 
     return source.mapInArrow(run, schema)

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from . import bytesops
 
 BITS = 20
-#: The sample: so many labelled texts of either class at most, about.
-TOXIC_TEXTS, OTHER_TEXTS = 2500, 4000
+#: The sample: so many labelled texts of either class at most, none of over so many characters.
+TOXIC_TEXTS, OTHER_TEXTS, LONGEST_TEXT = 2500, 4000, 20_000
 
 
 @dataclass
@@ -78,8 +78,8 @@ def sigmoid(x):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts: int = TOXIC_TEXTS, other_texts: int = OTHER_TEXTS) -> Model:
     """Train on the documents of labels (doc_id, toxic) for which learn (a condition on doc_id) holds.
 
-    The sample is bounded: about toxic_texts and other_texts texts, those whose ids have the
-    least hashes; the classes keep their true shares through importance weights. Labels that are
+    The sample is bounded: of the texts of LONGEST_TEXT characters or less toxic_texts and other_texts,
+    those whose ids have the least hashes; the classes keep their true shares through importance weights. Labels that are
     null are left out, and ids with several labels are toxic if any says so. With no labelled text
     the model scores everything 0.
     """
@@ -88,9 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts: int = TO
     toxic, other = counts.get(1, 0), counts.get(0, 0)
     if not toxic + other:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    bar = F.when(F.col("toxic") == 1, F.lit(int((1 << 30) * min(1, toxic_texts / max(toxic, 1))))).otherwise(F.lit(int((1 << 30) * min(1, other_texts / max(other, 1)))))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known.filter(place < bar)), "doc_id")
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT)
+    able = known.join(short.select("doc_id").distinct(), "doc_id").withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
+    first = [able.filter(F.col("toxic") == k).orderBy("place", "doc_id").limit(most) for k, most in ((1, toxic_texts), (0, other_texts))]
+    chosen = short.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1]).drop("place")), "doc_id")
 
     def extract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts: int = TO
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), b.column("toxic").slice(at, end - at), lists], ["doc_id", "toxic", "features"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("toxic", known.schema["toxic"].dataType), T.StructField("features", T.ArrayType(T.IntegerType()))])
-    got = chosen.mapInArrow(extract, schema).limit(2 * (toxic_texts + other_texts)).toArrow().sort_by("doc_id")
+    got = chosen.dropDuplicates(["doc_id"]).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
     y = np.array(got.column("toxic").to_pylist(), np.float64)
     lists = got.column("features").combine_chunks()
     flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])

@@ -64,6 +64,30 @@ def test_op1_edge_cases(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_op1_repeated_ids_with_different_vectors(spark):
+    v, u = np.array([1.0, 0, 0, 0]), np.array([0, 0, 1.0, 0])
+    tilt = np.array([0, 0.1, 0, 0])
+    rows = [(5, v), (5, u), (6, v + tilt), (7, u + tilt), (8, u + 2 * tilt)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in rows], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 2, 5, False)]
+
+
+def test_op1_recall_with_many_bits_and_blocks(spark, monkeypatch):
+    """Buckets of as many bits as 10,000,000 vectors have, cut into blocks."""
+    monkeypatch.setattr(embed_dedup, "BUCKET", 4)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 48)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(150, 64))
+    rows = [(i, (centre[i % 150] + rng.normal(size=64) * rng.choice([0.1, 0.2, 0.33])).tolist()) for i in range(2000)]
+    rows += [(3000 + i, (centre[0] + rng.normal(size=64) * 0.05).tolist()) for i in range(300)]
+    assert embed_dedup.plan(len(rows), 0.9, 0.999)[0] >= 9
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = Counter(x for p in cosine_pairs(rows) for x in p)
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * sum(links.values())
+    assert all(r["n_links"] <= links[k] for k, r in got.items())
+
+
 def gram_sets(rows, n=5):
     out = {}
     for k, text in rows:
@@ -119,6 +143,26 @@ def test_op2_edge_cases(spark):
     assert ngram_join.links(df.limit(0)).collect() == []
 
 
+def test_op2_repeated_ids_with_different_texts(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, a), (5, a + " zz"), (6, a + " yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[0:1] + tuple(r)[2:] for r in ngram_join.links(df).collect())
+    assert [(r[0], r[2], r[3]) for r in got] == [(5, 2, 5), (5, 2, 5), (6, 2, 5)]
+    assert sum(r[4] for r in got) == 1
+    kept = ngram_join.keep_one(df).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 5
+    assert ngram_join.keep_one(spark.createDataFrame([*rows, *rows], df.schema)).distinct().count() == 1
+
+
+@pytest.mark.parametrize("n", [2048, 4096])
+def test_op2_tells_crafted_texts_apart(spark, n):
+    """Texts whose polynomial hashes modulo 2 ** 64 are equal for any base."""
+    rows = [(k, "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n))) for k in range(2)]
+    got = ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_links"] for r in got] == [0, 0]
+
+
 def test_op2_plan_reaches_recall():
     bands, rows = ngram_join.plan(0.8, 0.999)
     assert bands * rows <= 224 and 1 - (1 - 0.8**rows) ** bands >= 0.999

@@ -173,6 +173,41 @@ def test_op9_draws_with_exact_chances():
     assert max(abs(seen[p] / n - c) for p, c in chance.items()) < 0.012
 
 
+@pytest.mark.parametrize("word", ["there" * 30, "неthereб" * 12 + "中文" * 9, "x" * 90])
+def test_op9_long_units_have_exact_chances(word):
+    """The chance of each piece at each place, by sums forward and backward over all paths, against draws."""
+    v, unit = piece_sampling._vocabulary(MODEL, 0.3), (" " + word).encode()
+    known = {b: i for i, b in enumerate(v.bytes) if b and i not in set(v.byte_id.tolist())}
+    edges, n, heads = [], len(unit), [i for i, x in enumerate(unit) if x & 0xC0 != 0x80]
+    edges += [(a, b, known[unit[a:b]]) for a in range(n) for b in range(a + 1, n + 1) if unit[a:b] in known]
+    for a, b in zip(heads, [*heads[1:], n], strict=True):
+        edges += [(k, k + 1, int(v.byte_id[unit[k]])) for k in range(a, b) if unit[a:b] not in known]
+    ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for a, b, i in sorted(edges, key=lambda e: e[1]):
+        ahead[b] = np.logaddexp(ahead[b], ahead[a] + v.weight[i])
+    for a, b, i in sorted(edges, key=lambda e: -e[0]):
+        back[a] = np.logaddexp(back[a], back[b] + v.weight[i])
+    want = {(a, i): math.exp(ahead[a] + v.weight[i] + back[b] - ahead[n]) for a, b, i in edges}
+    draws = 6000
+    data, offsets = np.frombuffer(word.encode() * draws, np.uint8), np.arange(draws + 1) * (n - 1)
+    keys = np.random.default_rng(4).integers(0, 1 << 63, draws).astype(np.uint64)
+    pieces, before = piece_sampling.encode_piece(piece_sampling.Lattices(v), data, offsets, keys)
+    at = np.cumsum(v.length[pieces]) - v.length[pieces]
+    seen = Counter(zip((at % n).tolist(), pieces.tolist(), strict=True))
+    assert set(seen) <= {k for k, c in want.items() if c > 0}
+    assert max(abs(seen[k] / draws - c) for k, c in want.items()) < 0.035
+
+
+def test_op9_pieces_decode_with_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect() if r["text"]]
+    rows += [(10**6 + i, t) for i, t in enumerate(ODD) if "▁" not in t and t]
+    for r in piece_sampling.encode(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect():
+        assert library.decode(r["pieces"]).lstrip(" ") == r["text"].lstrip(" ")
+
+
 def test_op9_query(spark):
     got = queries.op9_sentencepiece(spark, SF)
     assert got.filter("lossless").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
