@@ -7,13 +7,14 @@ bounds the temporary arrays whatever the size of a batch.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 LONG_WORD = 256
 U64 = np.uint64
 
@@ -80,8 +81,20 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         at = end
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers are reused, and what one task has freed would count against the next one."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in source if b.num_rows)
+    """The batches that have rows."""
+    release()
+    for b in source:
+        if b.num_rows:
+            yield b
+    release()
 
 
 #: Lower-cases A-Z and leaves every other byte alone.

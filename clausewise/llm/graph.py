@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytesops
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, so that a lost executor costs no recomputation."""
@@ -44,6 +46,7 @@ def groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
     Only one group is held at a time, beside the batch at hand.
     """
+    bytesops.release()
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
     for b in source:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import bytesops, units
 
 #: Units and nodes of lattices that are remembered, about; bytes of text that are taken at a time.
-REMEMBERED, NODES, PIECE = 120_000, 2_000_000, 1 << 20
+REMEMBERED, NODES, PIECE = 120_000, 1_000_000, 1 << 19
 MARK = "▁"
 U64 = np.uint64
 
