@@ -13,7 +13,7 @@ from clausewise.llm import decontaminate, lang_id, line_dedup, ngram_join, piece
 
 #: Mean probabilities under which a language is not believed: of texts of LONG_BYTES or more, and of shorter ones,
 #: which are unsure but may be clean.
-LANGUAGE_SCORE, SHORT_SCORE, LONG_BYTES = 0.5, 0.3, 400
+LANGUAGE_SCORE, SHORT_SCORE, LONG_BYTES = 0.4, 0.3, 400
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
