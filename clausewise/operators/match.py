@@ -35,9 +35,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return out / np.where(size > 0, size, 1), good
 
 
-def _best(docs: DataFrame, block: pa.Table, k: int, threshold: float, w_doc: float, w_title: float) -> DataFrame:
+def _best(docs: DataFrame, block: pa.Table, width: int, k: int, threshold: float, w_doc: float, w_title: float) -> DataFrame:
     ids = np.array(block.column("id").to_pylist(), object)
-    width = max((len(v) for v in block.column("embedding").to_pylist() if v is not None), default=1)
     t_doc, t_good = _matrix(block.column("embedding"), width)
     t_title, t_titled = _matrix(block.column("title_emb"), width)
     sent = docs.sparkSession.sparkContext.broadcast((ids, t_doc, t_good, t_title, t_titled))
@@ -60,7 +59,7 @@ def _best(docs: DataFrame, block: pa.Table, k: int, threshold: float, w_doc: flo
                 row, rank = np.nonzero(np.take_along_axis(score, order, 1) > -np.inf)
                 col = order[row, rank]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row)), pa.array(ids[col], pa.string()), pa.array(doc[row, col]), pa.array(title[row, col], mask=~asked[row]), pa.array(score[row, col])],
+                    [part.column("id").take(pa.array(row)), pa.array(ids[col], pa.string()), pa.array(doc[row, col]), pa.array(title[row, col]), pa.array(score[row, col])],
                     ["id", "template_id", "doc_score", "title_score", "score"],
                 )
 
@@ -71,7 +70,7 @@ def match(docs: DataFrame, templates: DataFrame, k: int = 1, threshold: float =
     """The k best templates of each document: id, template_id, doc_score, title_score, score, rank (from 1).
 
     docs and templates: id, embedding, title_emb. With a title vector the score is w_doc * doc + w_title * title,
-    where a template without a title vector has 0 for it; without one it is the similarity of the documents.
+    where a template without a title vector has 0 for it; without one it is the similarity of the documents, and title_score is 0.
     Scores below threshold are left out, and so are vectors that are null or zero; ties go to the lesser id.
     Documents without any template at the threshold have no row.
     """
@@ -81,7 +80,7 @@ def match(docs: DataFrame, templates: DataFrame, k: int = 1, threshold: float =
         return docs.sparkSession.createDataFrame([], MATCHED + ", rank int")
     blocks = max(1, -(-size["n"] * max(size["width"] or 1, 1) * 16 // block_bytes))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    found = [_best(docs, rows.filter(part == b).toArrow().sort_by("id"), k, threshold, w_doc, w_title) for b in range(blocks)]
+    found = [_best(docs, rows.filter(part == b).toArrow().sort_by("id"), max(size["width"] or 1, 1), k, threshold, w_doc, w_title) for b in range(blocks)]
     by_score = Window.partitionBy("id").orderBy(F.col("score").desc(), "template_id")
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(by_score))
     return ranked.filter(F.col("rank") <= k)

@@ -154,8 +154,8 @@ def _cosine(a: str, b: str) -> str:
 
 
 STORED_SQL = f"""{fixtures.VECTORS_SQL},
-pr AS (SELECT d.id, t.id AS template_id, list_cosine_similarity(d.embedding, t.embedding) AS doc_score, CASE WHEN d.title_emb IS NULL THEN NULL WHEN t.title_emb IS NULL THEN 0 ELSE {_cosine('d.title_emb', 't.title_emb')} END AS title_score FROM incoming d CROSS JOIN templates t),
-sc AS (SELECT *, CASE WHEN title_score IS NULL THEN doc_score ELSE 0.7 * doc_score + 0.3 * title_score END AS score FROM pr),
+pr AS (SELECT d.id, t.id AS template_id, list_cosine_similarity(d.embedding, t.embedding) AS doc_score, d.title_emb IS NOT NULL AS titled, CASE WHEN d.title_emb IS NULL OR t.title_emb IS NULL THEN 0 ELSE {_cosine('d.title_emb', 't.title_emb')} END AS title_score FROM incoming d CROSS JOIN templates t),
+sc AS (SELECT *, CASE WHEN NOT titled THEN doc_score ELSE 0.7 * doc_score + 0.3 * title_score END AS score FROM pr),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, template_id) AS r FROM sc WHERE score >= 0) WHERE r = 1),
 stored AS (SELECT i.id, i.name, i.version, i.created_at, i.session_id, i.user_choice_doc_id, i.title, best.template_id AS similar_id, round(best.score, 6) AS similarity_score FROM incoming i LEFT JOIN best ON best.id = i.id),
 doc_chunks AS (SELECT id || ':' || k AS chunk_id, id AS doc_id, k AS ord, 'text ' || id || ' ' || k AS text FROM incoming, range(3) r(k))"""
@@ -193,7 +193,7 @@ QUERIES = {
 ORACLES = {
     "template_top1": "SELECT id, template_id, round(doc_score, 6) AS doc_score, round(title_score, 6) AS title_score, round(score, 6) AS score FROM best",
     "template_topk_threshold": "SELECT id, template_id, round(doc_score, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_score DESC, template_id) AS rank FROM pr WHERE doc_score >= 0.2) WHERE rank <= 3",
-    "template_doc_only": "SELECT id, template_id, round(score, 6) AS score FROM best WHERE title_score IS NULL",
+    "template_doc_only": "SELECT id, template_id, round(score, 6) AS score FROM best WHERE NOT titled",
     "similarity_bands": f"SELECT {_BAND} AS band, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM stored GROUP BY 1",
     "classification_counters": "SELECT count(*) AS processed, count(*) FILTER (similarity_score >= 0.5) AS classified, count(*) - count(*) FILTER (similarity_score >= 0.5) AS unclassified, round(100.0 * count(*) FILTER (similarity_score >= 0.5) / count(*), 6) AS rate FROM stored",
     "classification_results": f"{_RESULTS} ORDER BY created_at DESC NULLS FIRST, score DESC NULLS FIRST, s.id LIMIT 100",

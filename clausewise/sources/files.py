@@ -47,9 +47,9 @@ def _runs(node: ElementTree.Element) -> str:
 
 
 def _rows(body: ElementTree.Element, separator: str) -> Iterator[str]:
-    for table in body.iter(_W + "tbl"):
+    for table in body.findall(_W + "tbl"):  # those inside cells are not tables of their own
         for row in table.findall(_W + "tr"):
-            cells = ["\n".join(_runs(p) for p in cell.iter(_W + "p")) for cell in row.findall(_W + "tc")]
+            cells = ["\n".join(_runs(p) for p in cell.findall(_W + "p")) for cell in row.findall(_W + "tc")]
             yield separator.join(c.replace("\n", " ").strip() for c in cells)
 
 

@@ -108,7 +108,7 @@ def test_match_ties_blend_and_missing_vectors(spark):
     t = spark.createDataFrame([("b", [1.0, 0.0], [0.0, 1.0]), ("a", [1.0, 0.0], None), ("c", [0.0, 0.0], [1.0, 0.0]), ("d", None, None)], VECTORS)
     d = spark.createDataFrame([("x", [2.0, 0.0], None), ("y", [1.0, 0.0], [0.0, 3.0]), ("z", [0.0, 0.0], None), ("n", None, [1.0, 0.0]), ("o", [-1.0, 0.0], None)], VECTORS)
     got = {r["id"]: (r["template_id"], round(r["score"], 6), r["title_score"]) for r in match.match(d, t).collect()}
-    assert got == {"x": ("a", 1.0, None), "y": ("b", 1.0, 1.0)}
+    assert got == {"x": ("a", 1.0, 0.0), "y": ("b", 1.0, 1.0)}
     two = [(r["id"], r["template_id"], r["rank"]) for r in match.match(d, t, k=2, block_bytes=1).collect()]
     assert sorted(two) == [("x", "a", 1), ("x", "b", 2), ("y", "a", 2), ("y", "b", 1)]
     assert match.match(d, t.limit(0)).collect() == [] and match.match(d.limit(0), t).collect() == []
