@@ -24,9 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / F.nullif(size, F.lit(0.0)))
 
 
-def resize(v: Column, width: int) -> Column:
+def resize(v: Column, width: Column | int) -> Column:
     """Cut to width, or filled with zeros."""
-    return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), 1, width)
+    return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), F.lit(1), F.lit(width))
 
 
 def normalise(v: Column, guard: float = 1e-12) -> Column:

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, between, index_of, last_index_before, let, lines, strip
+from .chunking import full_text
 
 # Statuses, phrases, month names and descriptions that results are compared by.
 STANDARD, NONSTANDARD, UNKNOWN = "СТАНДАРТНЫЙ", "НЕ СТАНДАРТНЫЙ", "НЕ МОГУ ОПРЕДЕЛИТЬ"
+E_NO_TEXT = "Не удалось получить текст документа"
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 FORM_PHRASES = ["по форме контрагента", "форме поставщика", "форме подрядчика", "форме исполнителя", "не по форме, утверждённой"]
 UNLIMITED = ["бессроч", "автоматическ", "пролонгац", "полного выполн"]
@@ -215,6 +217,17 @@ def audit(contracts: DataFrame, as_of: datetime.date, text: str = "text") -> Dat
     return out.withColumn("status", status).drop("__low")
 
 
+def audit_stored(docs: DataFrame, chunks: DataFrame, as_of: datetime.date, key: str = "doc_id") -> DataFrame:
+    """The audit of texts as they are stored: key, status, violations, error.
+
+    A document's chunks are joined by blanks in their order, overlaps included. Documents without chunks cannot be
+    judged and say so in error, which is null for all others.
+    """
+    rebuilt = docs.select(key).join(full_text(chunks, key), key, "left")
+    error = F.when(F.col("text").isNull(), F.lit(E_NO_TEXT))
+    return audit(rebuilt, as_of).select(key, "status", "violations", error.alias("error"))
+
+
 def violations(audited: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per violation, numbered from 1 in each document."""
     # the outer form: for the inner one Spark adds a filter that computes all violations once more

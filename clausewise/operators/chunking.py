@@ -6,7 +6,7 @@ document's state machine is a fold (aggregate) that runs in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, lines, strip, word_count
@@ -136,6 +136,11 @@ def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def run_stats(stats: DataFrame, *by: str) -> DataFrame:
+    """Of chunk_stats, for a run or for each value of some columns: files, chunks, and the mean of the files' mean chunk sizes."""
+    return stats.groupBy(*by).agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks"), F.round(F.avg("avg_tokens"), 4).alias("avg_tokens"))
+
+
 def full_text(chunks: DataFrame, key: str = "doc_id", separator: str = " ") -> DataFrame:
     """The chunks of each document in order, joined."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
@@ -145,11 +150,20 @@ def full_text(chunks: DataFrame, key: str = "doc_id", separator: str = " ") -> D
 def offsets(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """chunks with template_id (the rank of the document) and vec_offset (chunks of all documents before it, and ord).
 
-    Ranks and running totals are made on one row per document; chunks get theirs by a join.
+    Ranks and running totals are made on one row per document, in ranges of keys that are ranked apart; what lies
+    before each range is a running total of one row per range. Chunks get theirs by a join. The bounds of the ranges are
+    keys with the least hashes, as many as there are shuffle partitions: they decide on balance alone.
     """
-    from pyspark.sql import Window
-
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    per_doc = chunks.groupBy(key).agg(F.count("*").alias("n"))
-    placed = per_doc.select(key, F.row_number().over(Window.orderBy(key)).cast("bigint").alias("template_id"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    n_ranges = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = chunks.select(key).distinct().orderBy(F.xxhash64(key), key).limit(n_ranges)
+    bounds = drawn.agg(F.array_sort(F.collect_list(key)).alias("bounds"))
+    part = F.size(F.filter("bounds", lambda b: b <= F.col(key)))
+    per_doc = chunks.groupBy(key).agg(F.count("*").alias("n")).crossJoin(F.broadcast(bounds)).select(key, "n", part.alias("__range"))
+    ranges = per_doc.groupBy("__range").agg(F.count("*").alias("docs"), F.sum("n").alias("rows"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    starts = ranges.select("__range", so_far("docs").alias("docs"), so_far("rows").alias("rows"))
+    by_key = Window.partitionBy("__range").orderBy(key)
+    ranked = per_doc.withColumns({"rank": F.row_number().over(by_key), "above": F.sum("n").over(by_key) - F.col("n")})
+    placed = ranked.join(F.broadcast(starts), "__range").select(key, (F.col("docs") + F.col("rank")).alias("template_id"), (F.col("rows") + F.col("above")).alias("first"))
     return chunks.join(placed, key).withColumn("vec_offset", F.col("first") + F.col("ord")).drop("first")

@@ -2,8 +2,8 @@
 
 The templates are a stated query set: their vectors are sent to the executors, in blocks whose
 size is checked, and every batch of documents is multiplied with a block in one matrix product.
-Each document's best templates are kept per block and merged, so neither pairs nor templates
-grow any shuffle; documents are never exchanged while there is one block.
+Each document's best templates are ranked in the task, so pairs never exist as rows and documents
+are not exchanged while there is one block; the best of several blocks are merged by id.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +21,17 @@ from ..functions import vector
 
 #: Bytes of template vectors that are sent at once.
 BLOCK_BYTES = 256 << 20
-MATCHED = "id string, template_id string, doc_score double, title_score double, score double"
+MATCHED = "id string, template_id string, doc_score double, title_score double, score double, rank int"
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows, and which rows have a direction; vectors of another width, with nulls or without a direction have none."""
-    out, good = np.zeros((len(column), width)), np.zeros(len(column), bool)
-    for k, v in enumerate(column):
-        if v.is_valid and len(v.values) == width and v.values.null_count == 0:
-            out[k] = v.values.to_numpy()
-            good[k] = np.isfinite(out[k]).all() and out[k].any()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+    whole = np.flatnonzero(sizes == width)
+    out = np.zeros((len(column), width))
+    out[whole] = values[(np.cumsum(sizes) - sizes)[whole, None] + np.arange(width)]
+    good = np.isfinite(out).all(1) & out.any(1)
     out[~good] = 0
     size = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(size > 0, size, 1), good
@@ -37,8 +39,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
 
 def _best(docs: DataFrame, block: pa.Table, width: int, k: int, threshold: float, w_doc: float, w_title: float) -> DataFrame:
     ids = np.array(block.column("id").to_pylist(), object)
-    t_doc, t_good = _matrix(block.column("embedding"), width)
-    t_title, t_titled = _matrix(block.column("title_emb"), width)
+    t_doc, t_good = _matrix(block.column("embedding").combine_chunks(), width)
+    t_title, t_titled = _matrix(block.column("title_emb").combine_chunks(), width)
     sent = docs.sparkSession.sparkContext.broadcast((ids, t_doc, t_good, t_title, t_titled))
 
     def match(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,8 +61,8 @@ def _best(docs: DataFrame, block: pa.Table, width: int, k: int, threshold: float
                 row, rank = np.nonzero(np.take_along_axis(score, order, 1) > -np.inf)
                 col = order[row, rank]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row)), pa.array(ids[col], pa.string()), pa.array(doc[row, col]), pa.array(title[row, col]), pa.array(score[row, col])],
-                    ["id", "template_id", "doc_score", "title_score", "score"],
+                    [part.column("id").take(pa.array(row)), pa.array(ids[col], pa.string()), pa.array(doc[row, col]), pa.array(title[row, col]), pa.array(score[row, col]), pa.array(rank + 1, pa.int32())],
+                    ["id", "template_id", "doc_score", "title_score", "score", "rank"],
                 )
 
     return docs.select("id", "embedding", "title_emb").mapInArrow(match, MATCHED)
@@ -72,15 +74,17 @@ def match(docs: DataFrame, templates: DataFrame, k: int = 1, threshold: float =
     docs and templates: id, embedding, title_emb. With a title vector the score is w_doc * doc + w_title * title,
     where a template without a title vector has 0 for it; without one it is the similarity of the documents, and title_score is 0.
     Scores below threshold are left out, and so are vectors that are null or zero; ties go to the lesser id.
-    Documents without any template at the threshold have no row.
+    Documents without any template at the threshold have no row. Ids are unique on either side.
     """
     rows = templates.select("id", "embedding", "title_emb")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     if not size["n"]:
-        return docs.sparkSession.createDataFrame([], MATCHED + ", rank int")
+        return docs.sparkSession.createDataFrame([], MATCHED)
     blocks = max(1, -(-size["n"] * max(size["width"] or 1, 1) * 16 // block_bytes))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks))
     found = [_best(docs, rows.filter(part == b).toArrow().sort_by("id"), max(size["width"] or 1, 1), k, threshold, w_doc, w_title) for b in range(blocks)]
+    if blocks == 1:
+        return found[0]
     by_score = Window.partitionBy("id").orderBy(F.col("score").desc(), "template_id")
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(by_score))
     return ranked.filter(F.col("rank") <= k)

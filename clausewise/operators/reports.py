@@ -38,6 +38,27 @@ def options(templates: DataFrame) -> DataFrame:
     return templates.groupBy(label.alias("label")).agg(F.max_by("id", F.struct("name", "id")).alias("id"))
 
 
+def by_name(templates: DataFrame, collation: str | None = None) -> DataFrame:
+    """Templates in order of their names, ties by id; a collation (such as UNICODE) orders them as a language does."""
+    name = F.col("name") if collation is None else F.collate("name", collation)
+    return templates.orderBy(name, "id")
+
+
+def browse(table: DataFrame, limit: int = 100, key: str = "id") -> DataFrame:
+    """The first rows in order of the key."""
+    return table.orderBy(key).limit(limit)
+
+
+def lookup(table: DataFrame, key_value: str, key: str = "id") -> DataFrame:
+    """The rows with one key; none for a key that is unknown or null."""
+    return table.filter(F.col(key) == key_value)
+
+
+def referred(templates: DataFrame, docs: DataFrame, key: str = "similar_id") -> DataFrame:
+    """Those templates for which a document with their id as key exists."""
+    return templates.join(docs.select(F.col(key).alias("id")), "id", "left_semi")
+
+
 def default_option(docs: DataFrame, opts: DataFrame) -> DataFrame:
     """The first label, in order, of each document's matched template."""
     return docs.join(opts.withColumnRenamed("id", "similar_id"), "similar_id").groupBy(docs["id"]).agg(F.min("label").alias("label"))

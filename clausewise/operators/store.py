@@ -9,6 +9,7 @@ import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def insert(table: DataFrame, rows: DataFrame, defaults: dict | None = None) -> DataFrame:
@@ -18,6 +19,13 @@ def insert(table: DataFrame, rows: DataFrame, defaults: dict | None = None) -> D
     return table.unionByName(filled)
 
 
+def migrate(table: DataFrame, schema: str) -> DataFrame:
+    """table with the columns of a schema (DDL) that it lacks added as nulls, in that order; columns that the schema does not name stay behind them."""
+    wanted = StructType.fromDDL(schema)
+    have = [F.col(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
+    return table.select(*have, *[c for c in table.columns if c not in wanted.names])
+
+
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """table with those rows whose key it does not have; of rows with the same key one is taken."""
     fresh = rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")

@@ -75,8 +75,7 @@ _pay = r"(?i)(?:течение|срок|в)\s+(\d+)\s+(календарн[\p{L}\
 _acc = r"(?i)(?:прием|акт)[^.\n]*?(\d+)\s*рабочих?\s*дн"
 _end = A.P_END
 
-VIOLATIONS_SQL = f"""
-c0 AS ({fixtures.contracts_sql()}),
+RULES_SQL = f"""
 c AS (SELECT doc_id, text, lower(text) AS lo, string_split_regex(text, '[.\\n]') AS pieces, {_lines} AS lines FROM c0 WHERE text IS NOT NULL AND length(text) >= 50 AND {_strip('text')} <> ''),
 term AS (
   SELECT doc_id, CASE WHEN contains(lo, 'срок действия') OR contains(lo, 'договор действует') THEN
@@ -109,6 +108,7 @@ v AS (
   UNION ALL SELECT doc_id, 10, 0, 'L10', '{A.D_SPECIFICATION}' || {_missing}, '{A.F_SPECIFICATION}' FROM c WHERE {_any('lo', A.SPECIFICATION)} AND len([p FOR p IN ['{"', '".join(A.SPECIFICATION_PARTS)}'] IF NOT contains(lo, p)]) > 2
   UNION ALL SELECT doc_id, 11, 0, 'L11', '{A.D_FRAMEWORK}', '{A.F_FRAMEWORK}' FROM c WHERE {_any('lo', A.FRAMEWORK)} AND NOT {_any('lo', ['лимит', 'объем'])}
 )"""
+VIOLATIONS_SQL = f"c0 AS ({fixtures.contracts_sql()}),{RULES_SQL}"
 _status = f"""SELECT c0.doc_id, CASE WHEN c.doc_id IS NULL THEN '{A.UNKNOWN}' WHEN count(v.doc_id) > 0 THEN '{A.NONSTANDARD}' ELSE '{A.STANDARD}' END AS status, count(v.doc_id) AS n_violations
 FROM c0 LEFT JOIN c ON c.doc_id = c0.doc_id LEFT JOIN v ON v.doc_id = c0.doc_id GROUP BY c0.doc_id, c.doc_id"""
 _category = "CASE " + " ".join(f"WHEN {_any('lower(description)', ps)} THEN '{name}'" for name, ps in A.CATEGORIES) + f" ELSE '{A.OTHER}' END"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = datetime.date(2025, 1, 1)
+STUB = "Договор поставки № 7"
 
 # Clauses spliced into prose, by modulus of doc_id.
 CLAUSES = {
@@ -54,19 +55,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: prose with clauses; every 50th document is cut to 20 characters."""
+    """doc_id, text: prose with clauses, and a stub of a contract, with a negative id, beside every 50th."""
     docs, text = table(spark, sf_dir, "documents"), F.col("text")
     for modulus, clauses in CLAUSES.items():
         added = F.lit("")
         for k, clause in clauses.items():
             added = F.when(F.col("doc_id") % modulus == k, F.lit("\n" + clause)).otherwise(added)
         text = F.concat(text, added)
-    return docs.select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.substring("text", 1, 20)).otherwise(text).alias("text"))
+    stubs = docs.filter("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(STUB).alias("text"))
+    return docs.select("doc_id", text.alias("text")).unionByName(stubs)
 
 
 def contracts_sql() -> str:
     parts = ["CASE doc_id % {} {} ELSE '' END".format(m, " ".join(f"WHEN {k} THEN chr(10) || '{c}'" for k, c in clauses.items())) for m, clauses in CLAUSES.items()]
-    return "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN substr(text, 1, 20) ELSE text || " + " || ".join(parts) + " END AS text FROM documents"
+    return "SELECT doc_id, text || " + " || ".join(parts) + f" AS text FROM documents UNION ALL SELECT -1 - doc_id, '{STUB}' FROM documents WHERE doc_id % 50 = 0"
 
 
 MIX = [0.0, 1.0, 1.5, 2.0, 3.0, 5.0]

@@ -144,7 +144,7 @@ def vector_resize_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors normalised, then cut or filled to as many as 48 + vec_id % 32 components."""
     e = fixtures.table(spark, sf_dir, "embeddings")
     width = (48 + F.col("vec_id") % 32).cast("int")
-    v = F.slice(F.concat(V.normalise(V.as_double(F.col("embedding"))), F.array_repeat(F.lit(0.0), 80)), F.lit(1), width)
+    v = V.resize(V.normalise(V.as_double(F.col("embedding"))), width)
     return e.select("vec_id", v.alias("v")).select("vec_id", F.size("v").cast("bigint").alias("width"), F.round(V.norm(F.col("v")), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 

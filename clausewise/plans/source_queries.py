@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode
 from ..functions.vector import norm
 from ..operators import chunking
-from ..sources import files, index
+from ..sources import files, index, scratch
 from ..streaming import ingest
 from . import fixtures, text_queries
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/files-{uuid.uuid4().hex}"
-
-
 def _files(spark: SparkSession, sf_dir: str) -> str:
     """Nations as text files, one directory per region; names are parted by blank lines."""
     n, r = fixtures.table(spark, sf_dir, "nation"), fixtures.table(spark, sf_dir, "region")
-    path = _scratch(spark)
+    path = scratch.folder(spark, "files")
     rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.regexp_replace("r_name", " ", "_").alias("region"))
     rows.repartition(1).sortWithinPartitions("region", "n_name").write.partitionBy("region").option("lineSep", "\n\n").text(path)
     return path
@@ -39,7 +31,7 @@ def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _scratch(spark)
+    place = scratch.folder(spark, "files")
     return _shown(ingest.ingest_available(spark, _files(spark, sf_dir), f"{place}/table", f"{place}/checkpoint"))
 
 
@@ -48,7 +40,7 @@ def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.table(spark, sf_dir, "documents")
     found = chunking.chunk_documents(docs.select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("els")), F.col("els"))
     placed = encode.with_encoder(chunking.offsets(found), "text", "embedding")
-    path = _scratch(spark)
+    path = scratch.folder(spark, "files")
     index.write_index(path, docs.select("doc_id", "source"), placed)
     names, chunks = index.read_index(spark, path, "doc_id bigint, source string")
     unit = F.count_if(F.abs(norm(F.col("embedding")) - 1) < 1e-3)

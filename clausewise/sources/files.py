@@ -91,7 +91,8 @@ def parse_pdf(content: bytes) -> list[dict]:
 PARSERS: dict[str, Callable[[bytes], list[dict]]] = {"txt": parse_txt, "docx": parse_docx, "pdf": parse_pdf}
 
 
-def _elements(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]]) -> DataFrame:
+def elements(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]] = PARSERS) -> DataFrame:
+    """One row per element of files that are at hand as path and content."""
     name = F.element_at(F.split("path", "/"), -1)
     described = files.select(
         F.sha2(F.concat(F.col("path").cast("binary"), F.col("content")), 256).alias("doc_key"),
@@ -127,10 +128,10 @@ def _source(reader, formats: tuple[str, ...]):
 
 def read_elements(spark: SparkSession, path: str, formats: tuple[str, ...] = FORMATS, parsers: dict | None = None) -> DataFrame:
     """One row per element of the files under path with one of the suffixes (as they are written). No files, no rows."""
-    return _elements(_source(spark.read, formats).load(path), PARSERS | (parsers or {}))
+    return elements(_source(spark.read, formats).load(path), PARSERS | (parsers or {}))
 
 
 def stream_elements(spark: SparkSession, path: str, formats: tuple[str, ...] = FORMATS, parsers: dict | None = None) -> DataFrame:
     """read_elements as a stream: each file once, when it first appears."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    return _elements(_source(spark.readStream, formats).schema(schema).load(path), PARSERS | (parsers or {}))
+    return elements(_source(spark.readStream, formats).schema(schema).load(path), PARSERS | (parsers or {}))
