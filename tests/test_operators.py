@@ -115,6 +115,45 @@ def test_match_ties_blend_and_missing_vectors(spark):
     assert match.counters(spark.createDataFrame([], "score double")).first()["rate"] == 0.0
 
 
+def test_match_ranks_in_the_task_as_over_blocks(spark):
+    t = spark.createDataFrame([(f"t{k}", [float(k % 3), 1.0, float(k % 5)], [1.0, float(k % 4), 0.0]) for k in range(12)], VECTORS)
+    d = spark.createDataFrame([(f"d{k}", [1.0, float(k), 2.0], [float(k), 1.0, 1.0] if k % 2 else None) for k in range(9)], VECTORS)
+    d = d.unionByName(spark.createDataFrame([("null in it", [1.0, None, 1.0], None), ("nan", [1.0, float("nan"), 1.0], None), ("narrow", [1.0], None)], VECTORS))
+    shown = lambda df: sorted((r["id"], r["rank"], r["template_id"], round(r["score"], 9)) for r in df.collect())
+    whole = match.match(d, t, k=4)
+    assert shown(whole) == shown(match.match(d, t, k=4, block_bytes=200)) and {r[0] for r in shown(whole)} == {f"d{k}" for k in range(9)}
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_offsets_are_ranks_and_running_totals(spark):
+    rows = [(k * 7 % 50, i) for k in range(50) for i in range(k % 4 + 1)]
+    for kind in ("long", "string"):
+        chunks = spark.createDataFrame(rows, "doc_id long, ord int").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = {(r["doc_id"], r["ord"]): (r["template_id"], r["vec_offset"]) for r in chunking.offsets(chunks).collect()}
+        keys = sorted({k for k, _ in got})
+        assert got == {k: (keys.index(k[0]) + 1, at) for at, k in enumerate(sorted(got))}
+    assert chunking.offsets(chunks.limit(0)).collect() == []
+
+
+def test_stored_texts_are_audited_with_their_chunks(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    chunks = spark.createDataFrame([(1, 1, "Предоплата не предусмотрена."), (1, 0, PAD)], "doc_id long, ord int, text string")
+    got = {r["doc_id"]: r for r in audit.audit_stored(docs, chunks, AS_OF).collect()}
+    assert got[1]["error"] is None and got[1]["status"] == audit.NONSTANDARD
+    assert got[2]["error"] == audit.E_NO_TEXT and got[2]["status"] == audit.UNKNOWN and got[2]["violations"] == []
+
+
+def test_lists_lookups_and_migration(spark):
+    t = spark.createDataFrame([("1", "Жук", 1), ("2", "Ёж", 2), ("3", "Аист", 3), ("4", "Аист", 4)], "id string, name string, extra int")
+    assert [r["id"] for r in reports.by_name(t).collect()] == ["2", "3", "4", "1"]
+    assert [r["id"] for r in reports.by_name(t, "UNICODE").collect()] == ["3", "4", "2", "1"]
+    assert [r["id"] for r in reports.browse(t, 2).collect()] == ["1", "2"]
+    assert reports.lookup(t, "3").count() == 1 and reports.lookup(t, "x").count() == 0 and reports.lookup(t, None).count() == 0
+    assert [r["id"] for r in reports.referred(t, spark.createDataFrame([("2",), ("2",), (None,), ("9",)], "similar_id string")).collect()] == ["2"]
+    new = store.migrate(t, "id string, title string, name string")
+    assert new.columns == ["id", "title", "name", "extra"] and {r["title"] for r in new.collect()} == {None}
+
+
 def test_vector_expressions(spark):
     assert one(spark, [3.0, 4.0], lambda v: vector.norm(v), "array<double>") == 5.0
     assert one(spark, [0.0, 0.0], lambda v: vector.cosine(v, v), "array<double>") is None
@@ -268,6 +307,19 @@ def test_files(spark, tmp_path):
     assert headed[0]["metadata"] == {"heading": "2"}
 
 
+def test_a_reader_of_pages_that_is_passed_in_feeds_the_reading_order(spark, tmp_path):
+    def pages(content):
+        left, right = content.decode().split("|")
+        spots = [(0.0, y, t) for y, t in enumerate(left)] + [(300.0, y, t) for y, t in enumerate(right)]
+        return [{"element_type": "paragraph", "text": t, "page": 1, "bbox": [x, float(y), x + 200, y + 0.5]} for x, y, t in sorted(spots, key=lambda s: s[1])]
+
+    (tmp_path / "two.pdf").write_bytes(b"abcd|efgh")
+    found = files.read_elements(spark, str(tmp_path), ("pdf",), {"pdf": pages})
+    spots = found.select("doc_id", "page", "text", *[F.col("bbox")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    ordered = layout.reading_order(spots, ["doc_id", "page"]).orderBy("pos").collect()
+    assert "".join(r["text"] for r in ordered) == "abcdefgh"
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     source, table, mark = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "mark")
     source.mkdir()
