@@ -7,11 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewise.llm import decontaminate, lang_id, license_scan, line_dedup, piece_sampling, queries, toxicity
+from clausewise.llm import bytesops, decontaminate, lang_id, license_scan, line_dedup, piece_sampling, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,6 +53,90 @@ def test_op7_edge_cases(spark):
     assert {r["doc_id"] for r in lang_id.identify(docs, model, reject_below=0.5).collect()} == {r[0] for r in rows} - {200, 201, 202}
 
 
+def convolved(text, model):
+    """Probabilities by direct convolution, byte for byte, in double precision."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    total = np.zeros(len(model.languages))
+    for at in range(0, len(data), lang_id.WINDOW):
+        part, hidden = data[at : at + lang_id.WINDOW], []
+        for width, filters, bias in zip(lang_id.WIDTHS, model.filters, model.bias, strict=True):
+            seen = [part[i : i + width] for i in range(len(part) - width + 1) if 0 not in part[i : i + width]]
+            answers = [sum(model.embedding[b].astype(float) @ filters[j].astype(float) for j, b in enumerate(x)) + bias for x in set(seen)]
+            hidden += np.maximum(np.max(answers, axis=0), 0).tolist() if answers else [0.0] * lang_id.FILTERS
+        raw = np.array(hidden) @ model.dense + model.dense_bias
+        total += np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum() * len(part)
+    return total / len(data)
+
+
+def test_op7_equals_direct_convolution(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(-1, "a"), (-2, "AB"), (-3, "x\x00y\x00zz"), (-4, "ä" * 200), (-5, "\x00" * 300 + "q")], "doc_id long, text string")
+    model = lang_id.fit(docs, F.lit(True))
+    asked = docs.select("doc_id", "text").filter("length(text) < 3000").unionByName(odd)
+    texts = {r["doc_id"]: r["text"] for r in asked.collect()}
+    n = 0
+    for r in lang_id.identify(asked, model).collect():
+        text = texts[r["doc_id"]]
+        if not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        want = convolved(text, model)
+        assert abs(r["score"] - want.max()) < 1e-4 and want[model.languages.index(r["lang_pred"])] > want.max() - 1e-4
+        n += 1
+    assert n > 100
+
+
+def named(text):
+    """The features of a text by name: words, neighbours, and pairs around a word."""
+    w = words_of(text)
+    return {(a,) for a in w} | {(a, b, 1) for a, b in zip(w, w[1:], strict=False)} | {(a, b, 2) for a, b in zip(w, w[2:], strict=False)}
+
+
+def slot(feature):
+    """The place of a feature, by whole numbers of Python."""
+
+    def word(x):
+        data = np.frombuffer(x.encode(), np.uint8)
+        return int(bytesops.word_hashes(data, np.array([0, len(data)]))[0][0])
+
+    if len(feature) == 1:
+        return word(feature[0]) >> (64 - toxicity.BITS)
+    h = (word(feature[0]) * {1: 0xC2B2AE3D27D4EB4F, 2: 0x165667B19E3779F9}[feature[2]] + word(feature[1])) % 2**64
+    for k in range(2):
+        h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+    return (h ^ (h >> 32)) >> (64 - toxicity.BITS)
+
+
+def test_op8_equals_plain_loops(spark):
+    made = [" ".join(f"w{(k * k + i * (k % 7 + 1)) % 40}" for i in range(k % 23 + 1)) + (" vile" if k % 3 == 0 else " Kind É") for k in range(120)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(made)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    alpha, beta, l1, l2, z, n = 0.15, 1.0, 2.0, 1.0, {}, {}
+
+    def weight(i):
+        if i == "bias":
+            return -z.get(i, 0.0) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha)
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    slots = [{slot(f) for f in named(t)} for t in made]
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        for k in rng.permutation(120):
+            w = {i: weight(i) for i in [*slots[k], "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - (k % 3 == 0)
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / alpha * wi
+    model = toxicity.fit(docs, labels, F.lit(True))
+    learnt = {i: weight(i) for i in n if i != "bias" and weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(learnt, abs=1e-9) and learnt
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for k in range(120):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-weight("bias") - sum(learnt.get(i, 0) for i in slots[k]))), abs=1e-6)
+
+
 def test_op8_ranks_held_out_texts(spark):
     got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, SF).collect()}
     labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
