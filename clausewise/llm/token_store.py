@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from . import bytesops, graph, range_coder, units
 
-FILE, PIECE, REMEMBERED = 4_000_000, 1 << 20, 400_000
+FILE, PIECE = 4_000_000, 1 << 20
+#: Units that a worker remembers, about 100 bytes each, and the bits of the table that finds them.
+REMEMBERED, REMEMBERED_SLOTS = 900_000, 22
 #: Bytes of new units that are encoded together.
 RUN = 1 << 13
 SCHEMA = "part int, seq int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, file binary"
@@ -49,7 +51,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.seen = units.Seen(REMEMBERED)
+        self.seen = units.Seen(REMEMBERED, REMEMBERED_SLOTS)
         self.first, self.length, self.ids = units.Grow(np.int64), units.Grow(np.int64), units.Grow(np.int32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,11 @@ class Encoder:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
 
 
+@functools.cache  # a worker's tasks go on with what the ones before have learnt
+def _encoder(tokenizer_file: str) -> Encoder:
+    return Encoder(tokenizer_file)
+
+
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> None:
     """Write the ids of docs (doc_id, text), each document's ended with end_id, in order of doc_id.
 
@@ -115,7 +122,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> N
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         held, lengths, names = [], [], []
 
         def flush() -> pa.RecordBatch:

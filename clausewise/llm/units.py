@@ -65,20 +65,19 @@ class Grow:
 
 #: By a number of bytes from 0 to 8: the bits of a word that hold them.
 _HELD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-_SLOTS = 20
 
 
 class Seen:
     """Numbers for units, in order of first sight; forgets all when it has over limit of them.
 
-    Units of up to 16 bytes are two words. A table of 2 ** _SLOTS places finds the last unit of each hash; it is taken
+    Units of up to 16 bytes are two words. A table of 2 ** slots places finds the last unit of each hash; it is taken
     only if the words and the length are the same, so no two units share a number. Longer ones are looked up one by one.
     A unit that lost its place to another gets a new number.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.size = limit, 0
-        self.place = np.full(1 << _SLOTS, -1, np.int32)
+    def __init__(self, limit: int, slots: int = 20):
+        self.limit, self.slots, self.size = limit, slots, 0
+        self.place = np.full(1 << slots, -1, np.int32)
         self.words, self.length = (Grow(np.uint64), Grow(np.uint64)), Grow(np.int64)
         self.long: dict[bytes, int] = {}
 
@@ -92,7 +91,7 @@ class Seen:
         window = np.ndarray((len(data) + 9,), np.dtype("<u8"), padded, strides=(1,))
         words = window[start] & _HELD[np.minimum(length, 8)], window[np.minimum(start + 8, len(data))] & _HELD[np.clip(length - 8, 0, 8)]
         hashes = bytesops.mix(words[0] * np.uint64(0x9E3779B97F4A7C15) + bytesops.mix(words[1] + length.astype(np.uint64)))
-        slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.slots)).astype(np.int64)
         out = self.place.take(slot).astype(np.int64)
         known = out >= 0
         known[known] = self._same(words, length, np.flatnonzero(known), out[known])
