@@ -41,6 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df has not, in any case of letters."""
+    have, out = {c.lower() for c in df.columns}, f"__{name}"
+    while any(c.startswith(out.lower()) for c in have):
+        out += "_"
+    return out
+
+
 def groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys of a partition that is sorted by them.
 
