@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embed_dedup, exact_dedup, lang_id, license_scan, line_dedup, ngram_join, oracles, piece_sampling, suffix_dedup, token_store, toxicity
+from . import decontaminate, divergence, embed_dedup, exact_dedup, lang_id, license_scan, line_dedup, ngram_join, oracles, piece_sampling, suffix_dedup, token_store, toxicity, turns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +78,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_token_files, op7_language_id, op8_toxicity, op9_sentencepiece, op10_decontaminate, op11_exact_dedup, op12_source_divergence)}
-ORACLES = {"op1_embedding_dedup": oracles.OP1, "op2_ngram_jaccard": oracles.OP2, "op4_suffix_dedup": oracles.OP4, "op5_line_dedup": oracles.OP5, "op10_decontaminate": decontaminate.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_source_divergence": divergence.SQL}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return turns.with_all(turns.report(turns.damage(given)), given)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_ngram_jaccard, op3_license_scan, op4_suffix_dedup, op5_line_dedup, op6_token_files, op7_language_id, op8_toxicity, op9_sentencepiece, op10_decontaminate, op11_exact_dedup, op12_source_divergence, op13_conversation_repair)}
+ORACLES = {"op1_embedding_dedup": oracles.OP1, "op2_ngram_jaccard": oracles.OP2, "op4_suffix_dedup": oracles.OP4, "op5_line_dedup": oracles.OP5, "op10_decontaminate": decontaminate.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_source_divergence": divergence.SQL, "op13_conversation_repair": turns.SQL}
