@@ -1,15 +1,14 @@
 """Matching documents to templates by blended cosine similarity.
 
-The templates are a stated query set: their vectors are sent to the executors, in blocks whose
-size is checked, and every batch of documents is multiplied with a block in one matrix product.
-Each document's best templates are ranked in the task, so pairs never exist as rows and documents
-are not exchanged while there is one block; the best of several blocks are merged by id.
+A library whose size is checked to fit is sent to the executors, and every batch of documents is
+multiplied with it in one matrix product; documents are not exchanged. A larger library is cut
+into blocks, like the documents, and each pair of blocks is multiplied where it meets; no template
+passes the driver. Either way the best templates are ranked in the task, so pairs never exist as rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 
-#: Bytes of template vectors that are sent at once.
-BLOCK_BYTES = 256 << 20
+#: Bytes of template vectors that are sent at once, and rows of a block of either side beyond that.
+BLOCK_BYTES, BLOCK_ROWS = 256 << 20, 4096
 MATCHED = "id string, template_id string, doc_score double, title_score double, score double, rank int"
 
 
@@ -37,57 +36,96 @@ def _matrix(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(size > 0, size, 1), good
 
 
-def _best(docs: DataFrame, block: pa.Table, width: int, k: int, threshold: float, w_doc: float, w_title: float) -> DataFrame:
-    ids = np.array(block.column("id").to_pylist(), object)
-    t_doc, t_good = _matrix(block.column("embedding").combine_chunks(), width)
-    t_title, t_titled = _matrix(block.column("title_emb").combine_chunks(), width)
-    sent = docs.sparkSession.sparkContext.broadcast((ids, t_doc, t_good, t_title, t_titled))
+def _kept(column: pa.Array) -> np.ndarray:
+    return np.array(column.is_valid())
+
+
+def _arrays(part: pa.RecordBatch | pa.Table, width: int) -> tuple:
+    """Unit vectors of documents and titles, which of them have a direction, and which titles are asked for."""
+    column = lambda c: part.column(c).combine_chunks() if isinstance(part, pa.Table) else part.column(c)
+    return *_matrix(column("embedding"), width), *_matrix(column("title_emb"), width), _kept(column("title_emb"))
+
+
+def _ranked(ids: pa.Array, asked: tuple, names: np.ndarray, library: tuple, k: int, threshold: float, w_doc: float, w_title: float) -> pa.RecordBatch:
+    """The k best of a library (in order of names) for each asked row."""
+    q, good, qt, titled, has_title = asked
+    t, t_good, tt, t_titled, _ = library
+    doc = q @ t.T
+    title = np.where(titled[:, None] & t_titled[None], qt @ tt.T, 0.0)
+    score = np.where(has_title[:, None], w_doc * doc + w_title * title, doc)
+    able = good[:, None] & t_good[None] & (score >= threshold)  # neither side has a NaN
+    score[~able] = -np.inf
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] if k < score.shape[1] else np.full((len(score), 1), -np.inf)
+    row, col = np.nonzero((score >= least) & able)  # more than k where scores tie
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(row)), pa.array(names[col], pa.string()), pa.array(doc[row, col]), pa.array(title[row, col]), pa.array(score[row, col]), pa.array(rank + 1, pa.int32())],
+        ["id", "template_id", "doc_score", "title_score", "score", "rank"],
+    )
+
+
+def _sent(docs: DataFrame, library: pa.Table, width: int, *how) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(library.column("id").to_pylist(), object), _arrays(library, width)))
 
     def match(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, t_doc, t_good, t_title, t_titled = sent.value
+        names, vectors = sent.value
         for b in source:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                q, good = _matrix(part.column("embedding"), t_doc.shape[1])
-                qt, titled = _matrix(part.column("title_emb"), t_doc.shape[1])
-                asked = np.array(part.column("title_emb").is_valid())
-                doc = q @ t_doc.T
-                title = np.where(titled[:, None] & t_titled[None], qt @ t_title.T, 0.0)
-                score = np.where(asked[:, None], w_doc * doc + w_title * title, doc)
-                score[~good] = -np.inf
-                score[:, ~t_good] = -np.inf
-                score[score < threshold] = -np.inf
-                order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # templates are sorted by id
-                row, rank = np.nonzero(np.take_along_axis(score, order, 1) > -np.inf)
-                col = order[row, rank]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row)), pa.array(ids[col], pa.string()), pa.array(doc[row, col]), pa.array(title[row, col]), pa.array(score[row, col]), pa.array(rank + 1, pa.int32())],
-                    ["id", "template_id", "doc_score", "title_score", "score", "rank"],
-                )
+                yield _ranked(part.column("id"), _arrays(part, width), names, vectors, *how)
 
     return docs.select("id", "embedding", "title_emb").mapInArrow(match, MATCHED)
 
 
-def match(docs: DataFrame, templates: DataFrame, k: int = 1, threshold: float = 0.0, w_doc: float = 0.7, w_title: float = 0.3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def in_blocks(docs: DataFrame, library: DataFrame, width: int, k: int, threshold: float, w_doc: float, w_title: float) -> DataFrame:
+    """The k best templates among those of a document's cells: docs and library (cell, id, embedding, title_emb and the number of
+    blocks of the cell on either side, doc_blocks and blocks) meet by pairs of blocks. A document may have several cells."""
+    own, other = F.pmod(F.xxhash64("id"), F.col("doc_blocks")), F.pmod(F.xxhash64("id"), F.col("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    place = ["cell", "i", "j"]
+    left = docs.withColumn("i", own).withColumn("j", every("blocks")).select(*place, "id", "embedding", "title_emb")
+    right = library.withColumn("j", other).withColumn("i", every("doc_blocks"))
+    right = right.select(*[F.col(c).alias(c) for c in (*place, "id", "embedding", "title_emb")])  # columns of its own, should both sides come from one frame
+
+    def meet(d: pa.Table, t: pa.Table) -> pa.Table:
+        if not (d.num_rows and t.num_rows):  # an empty side has no columns
+            return schema.empty_table()
+        t = t.sort_by("id")
+        names, vectors = np.array(t.column("id").to_pylist(), object), _arrays(t, width)
+        found = [_ranked(part.column("id"), _arrays(part, width), names, vectors, k, threshold, w_doc, w_title) for part in d.to_batches(1024)]
+        return pa.Table.from_batches(found, schema=schema)
+
+    schema = pa.schema([("id", pa.string()), ("template_id", pa.string()), *[(c, pa.float64()) for c in ("doc_score", "title_score", "score")], ("rank", pa.int32())])
+    best = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(meet, MATCHED)
+    by_score = Window.partitionBy("id").orderBy(F.col("score").desc(), "template_id")
+    return best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+
+
+def match(
+    docs: DataFrame, templates: DataFrame, k: int = 1, threshold: float = 0.0, w_doc: float = 0.7, w_title: float = 0.3, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """The k best templates of each document: id, template_id, doc_score, title_score, score, rank (from 1).
 
     docs and templates: id, embedding, title_emb. With a title vector the score is w_doc * doc + w_title * title,
     where a template without a title vector has 0 for it; without one it is the similarity of the documents, and title_score is 0.
     Scores below threshold are left out, and so are vectors that are null or zero; ties go to the lesser id.
     Documents without any template at the threshold have no row. Ids are unique on either side.
+    A library of at most block_bytes is sent to the executors; of a larger one, as of docs, only the number of rows
+    is asked for, and blocks of about block_rows meet.
     """
     rows = templates.select("id", "embedding", "title_emb")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    width, how = max(size["width"] or 1, 1), (k, threshold, w_doc, w_title)
     if not size["n"]:
         return docs.sparkSession.createDataFrame([], MATCHED)
-    blocks = max(1, -(-size["n"] * max(size["width"] or 1, 1) * 16 // block_bytes))
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    found = [_best(docs, rows.filter(part == b).toArrow().sort_by("id"), max(size["width"] or 1, 1), k, threshold, w_doc, w_title) for b in range(blocks)]
-    if blocks == 1:
-        return found[0]
-    by_score = Window.partitionBy("id").orderBy(F.col("score").desc(), "template_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(by_score))
-    return ranked.filter(F.col("rank") <= k)
+    if size["n"] * width * 16 <= block_bytes:
+        return _sent(docs, rows.toArrow().sort_by("id"), width, *how)
+    blocks = {"cell": F.lit(0), "blocks": F.lit(-(-size["n"] // block_rows)), "doc_blocks": F.lit(max(1, -(-docs.count() // block_rows)))}
+    blocks = {c: v.cast("bigint") for c, v in blocks.items()}
+    return in_blocks(docs.select("id", "embedding", "title_emb").withColumns(blocks), rows.withColumns(blocks), width, *how)
 
 
 def nearest(docs: DataFrame, templates: DataFrame, k: int, threshold: float) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import ivf
 from ..operators import match as M
 from ..operators import reports as R
 from ..operators import store as S
+from ..sources import scratch
 from . import fixtures
 
 SESSION = "s3"
@@ -46,6 +48,30 @@ def template_doc_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.match(untitled, fixtures.templates(spark, sf_dir)).select("id", "template_id", "score"), "score")
 
 
+def template_blocks_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """template_top1 as a library that is too large to send is matched: in blocks, here of 16 rows."""
+    found = M.match(fixtures.incoming(spark, sf_dir), fixtures.templates(spark, sf_dir), block_bytes=0, block_rows=16)
+    return _rounded(found.drop("rank"), "doc_score", "title_score", "score")
+
+
+def template_ivf_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """template_topk_threshold from the index of lists, with every list probed."""
+    path = scratch.folder(spark, "ivf")
+    ivf.build(fixtures.templates(spark, sf_dir), path)
+    found = ivf.search(fixtures.incoming(spark, sf_dir), path, 3, 0.2, probes=ivf.LISTS)
+    return _rounded(found.withColumn("rank", F.col("rank").cast("bigint")), "similarity")
+
+
+def template_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in an index of 32 lists, every 50th asked for its ten nearest, at the default number of probes."""
+    e = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), V.as_double(F.col("embedding")).alias("embedding"))
+    path = scratch.folder(spark, "ivf")
+    ivf.build(e, path, lists=32)
+    asked = e.filter("CAST(id AS BIGINT) % 50 = 0")
+    found = ivf.recall(M.nearest(asked, e, 10, 0.0), ivf.search(asked, path, 10))
+    return found.select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.band_counts(_stored(spark, sf_dir).select(F.col("similarity_score").alias("score")))
 
@@ -170,6 +196,9 @@ QUERIES = {
         template_top1,
         template_topk_threshold,
         template_doc_only,
+        template_blocks_top1,
+        template_ivf_all_lists,
+        template_ivf_recall,
         similarity_bands,
         classification_counters,
         classification_results,
@@ -194,6 +223,9 @@ ORACLES = {
     "template_top1": "SELECT id, template_id, round(doc_score, 6) AS doc_score, round(title_score, 6) AS title_score, round(score, 6) AS score FROM best",
     "template_topk_threshold": "SELECT id, template_id, round(doc_score, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_score DESC, template_id) AS rank FROM pr WHERE doc_score >= 0.2) WHERE rank <= 3",
     "template_doc_only": "SELECT id, template_id, round(score, 6) AS score FROM best WHERE NOT titled",
+    "template_blocks_top1": "SELECT id, template_id, round(doc_score, 6) AS doc_score, round(title_score, 6) AS title_score, round(score, 6) AS score FROM best",
+    "template_ivf_all_lists": "SELECT id, template_id, round(doc_score, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_score DESC, template_id) AS rank FROM pr WHERE doc_score >= 0.2) WHERE rank <= 3",
+    "template_ivf_recall": "SELECT CAST(sum(least(10, n)) AS BIGINT) AS neighbours, true AS enough FROM (SELECT a.vec_id, count(*) AS n FROM e a JOIN e b ON list_cosine_similarity(a.v, b.v) >= 0 WHERE a.vec_id % 50 = 0 GROUP BY 1)",
     "similarity_bands": f"SELECT {_BAND} AS band, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM stored GROUP BY 1",
     "classification_counters": "SELECT count(*) AS processed, count(*) FILTER (similarity_score >= 0.5) AS classified, count(*) - count(*) FILTER (similarity_score >= 0.5) AS unclassified, round(100.0 * count(*) FILTER (similarity_score >= 0.5) / count(*), 6) AS rate FROM stored",
     "classification_results": f"{_RESULTS} ORDER BY created_at DESC NULLS FIRST, score DESC NULLS FIRST, s.id LIMIT 100",
