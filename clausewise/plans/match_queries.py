@@ -10,6 +10,7 @@ from ..operators import ivf
 from ..operators import match as M
 from ..operators import reports as R
 from ..operators import store as S
+from ..operators import tfidf
 from ..sources import scratch
 from . import fixtures
 
@@ -72,6 +73,17 @@ def template_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
 
 
+def fallback_model_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms are fitted on every tenth document, the library, and stored; the others are transformed with them, cut to 1024
+    components, and matched."""
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    path, is_library = scratch.folder(spark, "tfidf"), F.col("id").cast("bigint") % 10 == 0
+    tfidf.fit(docs.filter(is_library), key="id").save(spark, path)
+    made = tfidf.transform(docs, "text", "v", tfidf.Model.load(spark, path)).select("id", V.resize(F.col("v"), 1024).alias("embedding"))
+    found = M.nearest(made.filter(~is_library), made.filter(is_library), 1, 0.0)
+    return found.select(F.col("id").cast("bigint").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.band_counts(_stored(spark, sf_dir).select(F.col("similarity_score").alias("score")))
 
@@ -199,6 +211,7 @@ QUERIES = {
         template_blocks_top1,
         template_ivf_all_lists,
         template_ivf_recall,
+        fallback_model_match,
         similarity_bands,
         classification_counters,
         classification_results,
@@ -247,3 +260,13 @@ ORACLES = {
   SELECT vec_id, list_resize([x / (sqrt(list_sum([y * y FOR y IN v])) + 1e-12) FOR x IN v], CAST(48 + vec_id % 32 AS INT), 0.0::DOUBLE) AS w FROM e)""",
 }
 ORACLES = {k: f"WITH {STORED_SQL} {sql}" for k, sql in ORACLES.items()}
+ORACLES["fallback_model_match"] = r"""
+WITH t AS (SELECT doc_id, doc_id % 10 = 0 AS lib, unnest([x FOR x IN regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') IF length(x) > 1]) AS term FROM documents),
+tf AS (SELECT doc_id, lib, term, count(*) AS tf FROM t GROUP BY ALL),
+vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf WHERE lib GROUP BY 1 ORDER BY total DESC, term LIMIT 4096),
+id AS (SELECT term, ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 10 = 0)) / (1 + df)) + 1 AS idf, row_number() OVER (ORDER BY term) AS pos FROM vo),
+wt AS (SELECT doc_id, lib, pos, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM tf JOIN id ON id.term = tf.term),
+cut AS (SELECT doc_id, lib, pos, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt WHERE pos <= 1024),
+pr AS (SELECT a.doc_id, b.doc_id AS t, sum(a.w * b.w) AS s FROM cut a JOIN cut b ON b.pos = a.pos WHERE NOT a.lib AND b.lib GROUP BY 1, 2),
+known AS (SELECT DISTINCT doc_id FROM cut WHERE NOT lib)
+SELECT known.doc_id, round(coalesce(max(s), 0), 6) AS similarity FROM known LEFT JOIN pr ON pr.doc_id = known.doc_id GROUP BY 1"""

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import encode
 from ..functions.vector import norm
-from ..operators import chunking
+from ..operators import chunking, latent
 from ..sources import files, index, scratch
 from ..streaming import ingest
 from . import fixtures, text_queries
@@ -36,11 +35,12 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents with hashed vectors through the file index and back, per document."""
+    """Chunks of all documents with vectors of latent meaning through the file index and back, per source."""
     docs = fixtures.table(spark, sf_dir, "documents")
     found = chunking.chunk_documents(docs.select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("els")), F.col("els"))
-    placed = encode.with_encoder(chunking.offsets(found), "text", "embedding")
     path = scratch.folder(spark, "files")
+    latent.fit(docs.select("doc_id", "text"), components=64).save(spark, f"{path}-encoder")
+    placed = latent.Encoder.load(spark, f"{path}-encoder").encode(chunking.offsets(found), "text", "embedding")
     index.write_index(path, docs.select("doc_id", "source"), placed)
     names, chunks = index.read_index(spark, path, "doc_id bigint, source string")
     unit = F.count_if(F.abs(norm(F.col("embedding")) - 1) < 1e-3)
@@ -54,7 +54,9 @@ QUERIES = {f.__name__: f for f in (ingest_files, ingest_stream, file_index)}
 ORACLES = {
     "ingest_files": _INGESTED,
     "ingest_stream": _INGESTED,
-    # a vector has a direction if its chunk has a word
-    "file_index": f"""WITH {text_queries.CHUNKS_SQL} SELECT source, count(*) AS chunks, count(*) FILTER (regexp_matches(c.text, '[\\p{{L}}\\p{{N}}_]')) AS unit_vectors, min(vec_offset) AS first
+    # a vector has a direction if its chunk has a word of the vocabulary
+    "file_index": f"""WITH {text_queries.CHUNKS_SQL}, {text_queries.TFIDF_SQL},
+kn AS (SELECT DISTINCT chunk_id FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS term FROM chunks) x JOIN vo ON vo.term = x.term)
+SELECT source, count(*) AS chunks, count(*) FILTER (c.chunk_id IN (SELECT chunk_id FROM kn)) AS unit_vectors, min(vec_offset) AS first
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id, ord) - 1 AS vec_offset FROM chunks) c JOIN documents d ON d.doc_id = c.doc_id GROUP BY source""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines
 from ..operators import chunking as C
-from ..operators import layout, tfidf, titles
+from ..operators import grids, layout, tfidf, titles
 from . import fixtures
 
 
@@ -176,11 +176,56 @@ km AS (
 ed AS (SELECT doc_id, CASE WHEN len([x FOR x IN c IF x < (a + b) / 2]) >= 3 AND len([x FOR x IN c IF x >= (a + b) / 2]) >= 3 THEN (a + b) / 2 END AS edge FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM km) WHERE r = 1),
 pl AS (SELECT bl.*, CASE WHEN edge IS NULL OR x0 + 100 < edge THEN 0 ELSE 1 END AS col FROM bl LEFT JOIN ed ON ed.doc_id = bl.doc_id)"""
 
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of price lists, twenty parts a page, with boxes: a heading across all columns, missing cells, and every fourth page as prose."""
+    part, row, page = fixtures.table(spark, sf_dir, "part"), F.col("p_partkey") % 20, F.floor(F.col("p_partkey") / 20)
+    cell = lambda x, text: F.struct(F.lit(float(x)).alias("x"), text.alias("text"))
+    price = F.concat(F.lit("$"), F.floor("p_retailprice").cast("string"))
+    grid = F.array(cell(50, F.col("p_brand")), cell(150, F.col("p_name")), cell(300, F.when(F.col("p_partkey") % 7 != 0, F.col("p_type"))), cell(400, price))
+    prose = F.array(cell(50, F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name", "p_type")))
+    lines = part.select("p_partkey", page.alias("page"), (100 + row * 12).cast("double").alias("y"), F.explode(F.when(page % 4 == 3, prose).otherwise(grid)).alias("c"))
+    heads = part.filter(row == 0).select("p_partkey", page.alias("page"), F.lit(80.0).alias("y"), cell(90, F.concat(F.lit("List of all the parts on our page number "), page)).alias("c"))
+    words = lines.unionByName(heads).select("page", "y", "c.x", F.split("c.text", " ").alias("w")).filter("w IS NOT NULL")
+    at = F.transform("w", lambda w, i: F.struct((F.col("x") + 6 * (F.length(F.array_join(F.slice("w", F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0))).alias("x0"), w.alias("text")))
+    placed = words.select("page", "y", F.explode(at).alias("p")).select("page", "y", "p.*")
+    return placed.select("page", "x0", F.col("y").alias("y0"), (F.col("x0") + 6 * F.length("text")).alias("x1"), (F.col("y") + 10).alias("y1"), "text")
+
+
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.tables(page_words(spark, sf_dir), ["page"])
+
+
+GRIDS_SQL = """
+c AS (
+  SELECT p_partkey // 20 AS page, 100.0 + p_partkey % 20 * 12 AS y, unnest(CASE WHEN p_partkey // 20 % 4 = 3 THEN [{'x': 50, 't': concat_ws(' ', p_name, p_type, p_brand, p_name, p_type)}]
+    ELSE [{'x': 50, 't': p_brand}, {'x': 150, 't': p_name}, {'x': 300, 't': CASE WHEN p_partkey % 7 <> 0 THEN p_type END}, {'x': 400, 't': '$' || CAST(floor(p_retailprice) AS BIGINT)}] END) AS c FROM part
+  UNION ALL SELECT p_partkey // 20, 80.0, {'x': 90, 't': 'List of all the parts on our page number ' || p_partkey // 20} FROM part WHERE p_partkey % 20 = 0
+), cw AS (SELECT page, y, c.x AS x, string_split(c.t, ' ') AS w FROM c WHERE c.t IS NOT NULL),
+ci AS (SELECT page, y, x, w, unnest(generate_series(1, len(w))) AS i FROM cw),
+w AS (SELECT page, y AS y0, y + 10 AS y1, x + 6 * coalesce(list_sum([length(v) + 1 FOR v IN list_slice(w, 1, i - 1)]), 0) AS x0, w[i] AS text FROM ci),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY y0) AS band, x0 + 6 * length(text) AS x1 FROM w),
+s1 AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY page, band ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 7 THEN 0 ELSE 1 END AS fresh FROM b),
+s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY page, band ORDER BY x0) AS seg FROM s1),
+sg AS (SELECT page, band, seg, min(x0) AS x0, max(x1) AS x1, string_agg(text, ' ' ORDER BY x0) AS text FROM s2 GROUP BY ALL),
+pt AS (SELECT DISTINCT page, unnest([x0, x1]) AS x FROM sg),
+iv AS (SELECT page, x AS a, lead(x) OVER (PARTITION BY page ORDER BY x) AS b FROM pt),
+cv AS (SELECT iv.page, a, b, (SELECT count(*) FROM sg WHERE sg.page = iv.page AND sg.x0 <= a AND sg.x1 >= b) AS cover, (SELECT max(band) FROM sg WHERE sg.page = iv.page) AS n FROM iv WHERE b IS NOT NULL),
+lo AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY a) - row_number() OVER (PARTITION BY page, cover * 4 > n ORDER BY a) AS run FROM cv),
+gp AS (SELECT page, min(a) AS a, max(b) AS b FROM lo WHERE cover * 4 <= n GROUP BY page, run),
+cu AS (SELECT gp.page, (a + b) / 2 AS m FROM gp JOIN (SELECT page, min(x0) AS l, max(x1) AS r FROM sg GROUP BY page) e ON e.page = gp.page WHERE b - a >= 10 AND a > l AND b < r),
+co AS (SELECT page, k, lag(m, 1, -1e9) OVER (PARTITION BY page ORDER BY m) AS lo, m AS hi FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY m) AS k FROM (SELECT * FROM cu UNION ALL SELECT DISTINCT page, 1e9 FROM cu))),
+pl AS (SELECT sg.*, k, row_number() OVER (PARTITION BY sg.page, band, seg ORDER BY least(x1, hi) - greatest(x0, lo) DESC, k) AS best FROM sg JOIN co ON co.page = sg.page),
+ce AS (SELECT page, band, k, string_agg(text, ' ' ORDER BY x0) AS text FROM pl WHERE best = 1 GROUP BY ALL),
+ro AS (SELECT r.page, r.band, string_agg(coalesce(ce.text, ''), chr(9) ORDER BY co.k) AS line, count(ce.text) AS n, count(*) AS n_cols FROM (SELECT DISTINCT page, band FROM ce) r JOIN co ON co.page = r.page LEFT JOIN ce ON ce.page = r.page AND ce.band = r.band AND ce.k = co.k GROUP BY ALL)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (paragraph_split, heading_blocks, clean_blocks, page_estimate, chunk_documents, chunk_stats, chunk_offsets, document_full_text, title_from_lines, tfidf_top_terms, tfidf_similarity, pdf_reading_order)
+    for f in (page_tables, paragraph_split, heading_blocks, clean_blocks, page_estimate, chunk_documents, chunk_stats, chunk_offsets, document_full_text, title_from_lines, tfidf_top_terms, tfidf_similarity, pdf_reading_order)
 }
 ORACLES = {
+    "page_tables": f"WITH {GRIDS_SQL} SELECT page, count(*) AS n_rows, max(n_cols) AS n_cols, string_agg(line, chr(10) ORDER BY band) AS text FROM ro GROUP BY page HAVING count(*) FILTER (n > 1) >= 2",
     "paragraph_split": f"WITH {ELEMENTS_SQL} SELECT doc_id, generate_subscripts(els, 1) - 1 AS ord, unnest(els) AS text FROM el",
     "heading_blocks": f"WITH {ELEMENTS_SQL} SELECT doc_id, len(b) AS n_blocks, len([y FOR y IN b IF y.t = 'heading']) AS n_headings, array_to_string([y.x FOR y IN b IF y.t = 'heading'], '|') AS headings FROM b0",
     "clean_blocks": f"WITH {CLEAN_SQL} SELECT doc_id, len(b) AS n_blocks, md5(array_to_string([y.x FOR y IN b], chr(10))) AS digest FROM cl",
