@@ -9,10 +9,10 @@ from ..functions import vector as V
 from ..operators import ivf
 from ..operators import match as M
 from ..operators import reports as R
+from ..operators import chunking, tables, tfidf
 from ..operators import store as S
-from ..operators import tfidf
 from ..sources import scratch
-from . import fixtures
+from . import fixtures, text_queries
 
 SESSION = "s3"
 
@@ -165,6 +165,45 @@ def delete_template_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name(left[0], "template", "id").unionByName(name(left[1], "chunk", "chunk_id")).unionByName(name(left[2], "doc", "id"))
 
 
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored tables after a session was cleared, a choice made, chunks edited and a template deleted; every change is made twice."""
+    path = scratch.folder(spark, "store")
+    store = tables.Store(spark, path, path.rsplit("/", 1)[1].replace("-", "_"))
+    store.create_all()
+    library, docs = fixtures.templates(spark, sf_dir), _stored(spark, sf_dir)
+    texts = fixtures.table(spark, sf_dir, "documents").select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("els"))
+    chunks = chunking.chunk_documents(texts, F.col("els")).withColumns({"doc_id": F.concat(F.lit("d"), "doc_id"), "chunk_id": F.concat(F.lit("d"), "chunk_id")})
+    store.insert("templates", library)
+    store.insert("template_chunks", library.select(F.concat_ws(":", "id", F.lit(0)).alias("chunk_id"), F.col("id").alias("template_id"), F.lit(0).alias("ord"), F.col("title").alias("text")))
+    store.insert("docs_inserted", docs)
+    store.insert("docs_inserted_chunks", chunks.join(docs.select(F.col("id").alias("doc_id"), "session_id"), "doc_id"))
+    edited = spark.range(2).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("edited "), "id").alias("text"))
+    for _ in range(2):
+        store.clear_session(SESSION)
+        store.choose("s4", "d11", "t0")
+        store.choose("s4", "nobody", "t0")
+        store.replace_chunks("s5", "d12", edited)
+        store.delete_template("t10")
+    part = lambda kind, key, detail, session: store.read(kind).select(F.lit(kind).alias("kind"), F.col(session).alias("session_id") if session else F.lit(None).cast("string").alias("session_id"), F.col(key).alias("key"), F.col(detail).alias("detail"))
+    found = part("docs_inserted", "id", "user_choice_doc_id", "session_id").unionByName(part("docs_inserted_chunks", "chunk_id", "text", "session_id"))
+    found = found.unionByName(part("templates", "id", "name", "")).unionByName(part("template_chunks", "chunk_id", "text", ""))
+    return found.withColumn("detail", F.md5("detail"))
+
+
+def catalog_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered table of templates without titles: probed, brought to the schema and probed again; its rows stay."""
+    path = scratch.folder(spark, "store")
+    store = tables.Store(spark, path, path.rsplit("/", 1)[1].replace("-", "_"))
+    probe = lambda: f"{store.exists('templates')}:{'title' in store.columns('templates')}:{'title_emb' in store.columns('templates')}"
+    seen = [probe()]
+    store.create("templates", "id string, name string, version string, created_at timestamp_ntz, is_active boolean, embedding array<float>, part int")
+    store.insert("templates", fixtures.templates(spark, sf_dir).drop("title", "title_emb"))
+    seen.append(probe())
+    added = ",".join(store.migrate("templates"))
+    seen.append(probe())
+    return store.read("templates").select("id", "name", "title", F.lit("|".join(seen)).alias("probes"), F.lit(added).alias("added"))
+
+
 def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose chosen template is not among those with a version."""
     docs = fixtures.incoming(spark, sf_dir).select("id", "user_choice_doc_id")
@@ -227,6 +266,8 @@ QUERIES = {
         update_user_choice_state,
         replace_chunks_state,
         delete_template_state,
+        stored_tables,
+        catalog_migrate,
         orphan_check,
         fk_join_three_way,
         vector_resize_normalise,
@@ -260,6 +301,14 @@ ORACLES = {
   SELECT vec_id, list_resize([x / (sqrt(list_sum([y * y FOR y IN v])) + 1e-12) FOR x IN v], CAST(48 + vec_id % 32 AS INT), 0.0::DOUBLE) AS w FROM e)""",
 }
 ORACLES = {k: f"WITH {STORED_SQL} {sql}" for k, sql in ORACLES.items()}
+ORACLES["catalog_migrate"] = f"WITH {STORED_SQL} SELECT id, name, CAST(NULL AS VARCHAR) AS title, 'False:False:False|True:False:False|True:True:True' AS probes, 'title,title_emb' AS added FROM templates"
+ORACLES["stored_tables"] = f"""WITH {text_queries.CHUNKS_SQL}, {STORED_SQL.replace('doc_chunks AS', 'made_chunks AS')},
+kept AS (SELECT id, session_id, CASE WHEN id = 'd11' AND session_id = 's4' THEN 't0' ELSE user_choice_doc_id END AS choice, similar_id FROM stored WHERE session_id <> '{SESSION}'),
+left_ AS (SELECT * FROM kept WHERE similar_id IS DISTINCT FROM 't10' AND choice IS DISTINCT FROM 't10'),
+own AS (SELECT k.session_id, k.id, 'd' || c.chunk_id AS chunk_id, c.text FROM chunks c JOIN left_ k ON k.id = 'd' || c.doc_id WHERE k.id <> 'd12' OR k.session_id <> 's5'
+  UNION ALL SELECT 's5', 'd12', 'd12:' || i, 'edited ' || i FROM range(2) r(i))
+SELECT 'docs_inserted' AS kind, session_id, id AS key, md5(choice) AS detail FROM left_ UNION ALL SELECT 'docs_inserted_chunks', session_id, chunk_id, md5(text) FROM own
+UNION ALL SELECT 'templates', NULL, id, md5(name) FROM templates WHERE id <> 't10' UNION ALL SELECT 'template_chunks', NULL, id || ':0', md5('title of ' || substr(id, 2)) FROM templates WHERE id <> 't10'"""
 ORACLES["fallback_model_match"] = r"""
 WITH t AS (SELECT doc_id, doc_id % 10 = 0 AS lib, unnest([x FOR x IN regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') IF length(x) > 1]) AS term FROM documents),
 tf AS (SELECT doc_id, lib, term, count(*) AS tf FROM t GROUP BY ALL),
