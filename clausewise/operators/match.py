@@ -128,6 +128,34 @@ def match(
     return in_blocks(docs.select("id", "embedding", "title_emb").withColumns(blocks), rows.withColumns(blocks), width, *how)
 
 
+def with_nearest(docs: DataFrame, templates: DataFrame, out: str, threshold: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, which may be a stream, with a struct of the nearest template (template_id, similarity) by document vector, or null
+    where none reaches the threshold. The library must be small enough to be sent."""
+    rows = templates.select("id", "embedding", F.lit(None).cast("array<double>").alias("title_emb"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    width = max(size["width"] or 1, 1)
+    if size["n"] * width * 16 > block_bytes:
+        raise ValueError("the library is too large to be sent to a stream; match its results as a table")
+    library = rows.toArrow().sort_by("id")
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(library.column("id").to_pylist(), object), _arrays(library, width)))
+    kind = pa.struct([("template_id", pa.string()), ("similarity", pa.float64())])
+
+    @F.arrow_udf("struct<template_id: string, similarity: double>")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, vectors = sent.value
+        for v in batches:
+            ids, found = pa.array(range(len(v)), pa.int64()), [None] * len(v)
+            untitled = pa.nulls(1024, pa.list_(pa.float64()))
+            for at in range(0, len(v) if len(names) else 0, 1024):
+                part = pa.RecordBatch.from_arrays([v.slice(at, 1024), untitled.slice(0, min(1024, len(v) - at))], ["embedding", "title_emb"])
+                ranked = _ranked(ids.slice(at, 1024), _arrays(part, width), names, vectors, 1, threshold, 1.0, 0.0)
+                for k, name, score in zip(*(ranked.column(c).to_pylist() for c in ("id", "template_id", "score")), strict=True):
+                    found[k] = {"template_id": name, "similarity": score}
+            yield pa.array(found, kind)
+
+    return docs.withColumn(out, best(F.col("embedding")))
+
+
 def nearest(docs: DataFrame, templates: DataFrame, k: int, threshold: float) -> DataFrame:
     """The k nearest templates by document vector alone: id, template_id, similarity, rank."""
     plain = lambda df: df.select("id", "embedding", F.lit(None).cast("array<double>").alias("title_emb"))

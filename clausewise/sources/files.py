@@ -1,12 +1,13 @@
 """Documents in files: a recursive scan of text and office files into one row per element.
 
-Files are read by Spark's binaryFile source; formats are parsed by functions from bytes to
-elements, which a caller may add to (PARSERS). A file that cannot be parsed gives one row with
-parse_error instead of ending the job.
+Files are read by Spark's binaryFile source. Text is decoded and cut by expressions; other formats
+are parsed by functions from bytes to elements, which a caller may add to (PARSERS). A file that
+cannot be parsed gives one row with parse_error instead of ending the job.
 """
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +16,9 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import text_files
 
 FORMATS = ("txt", "pdf", "docx")
 ELEMENTS = (
@@ -25,15 +29,6 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 
 
-def parse_txt(content: bytes) -> list[dict]:
-    """Parts between blank lines; UTF-8, or else Windows-1251."""
-    try:
-        text = content.decode("utf-8")
-    except UnicodeDecodeError:
-        text = content.decode("cp1251")
-    return [{"element_type": "paragraph", "text": p.strip()} for p in text.split("\n\n") if p.strip()]
-
-
 def _runs(node: ElementTree.Element) -> str:
     out = []
     for x in node.iter():
@@ -88,13 +83,18 @@ def parse_pdf(content: bytes) -> list[dict]:
     raise ValueError("no PDF reader is installed; pass one in parsers")
 
 
-PARSERS: dict[str, Callable[[bytes], list[dict]]] = {"txt": parse_txt, "docx": parse_docx, "pdf": parse_pdf}
+#: Any other suffix is taken for text.
+PARSERS: dict[str, Callable[[bytes], list[dict]]] = {"docx": parse_docx, "pdf": parse_pdf}
+SCHEMA = pa.schema(
+    [(n, pa.string()) for n in ("doc_key", "doc_path", "doc_id", "category", "source_type")]
+    + [("page", pa.int32()), ("order", pa.int32()), ("element_type", pa.string()), ("text", pa.string()), ("html", pa.string()), ("bbox", pa.list_(pa.float64())), ("media_path", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("parse_error", pa.string())]
+)
 
 
-def elements(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]] = PARSERS) -> DataFrame:
-    """One row per element of files that are at hand as path and content."""
+def described(files: DataFrame) -> DataFrame:
+    """doc_key (of path and content), doc_path, doc_id, category (the folder), source_type (the suffix) and content of files."""
     name = F.element_at(F.split("path", "/"), -1)
-    described = files.select(
+    return files.select(
         F.sha2(F.concat(F.col("path").cast("binary"), F.col("content")), 256).alias("doc_key"),
         F.col("path").alias("doc_path"),
         F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"),
@@ -103,35 +103,89 @@ def elements(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]]
         "content",
     )
 
+
+def parsed(row: dict, content: bytes, parser: Callable[[bytes], list[dict]]) -> list[dict]:
+    """The elements of a file as rows of SCHEMA, or one row with what went wrong."""
+    try:
+        found, error = parser(content), None
+    except Exception as e:  # whatever a broken file makes a parser do
+        found, error = [{}], f"{type(e).__name__}: {e}"
+    return [row | {"order": k, "parse_error": error} | e for k, e in enumerate(found)]
+
+
+def _by_parsers(rows: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]]) -> DataFrame:
     def parse(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            for row in b.to_pylist():
-                content = row.pop("content")
-                try:
-                    found, error = parsers.get(row["source_type"], parse_txt)(content), None
-                except Exception as e:  # whatever a broken file makes a parser do
-                    found, error = [{}], f"{type(e).__name__}: {e}"
-                rows = [row | {"page": None, "order": k, "element_type": None, "text": None, "html": None, "bbox": None, "media_path": None, "metadata": None} | e | {"parse_error": error} for k, e in enumerate(found)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    schema = pa.schema(
-        [(n, pa.string()) for n in ("doc_key", "doc_path", "doc_id", "category", "source_type")]
-        + [("page", pa.int32()), ("order", pa.int32()), ("element_type", pa.string()), ("text", pa.string()), ("html", pa.string()), ("bbox", pa.list_(pa.float64())), ("media_path", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("parse_error", pa.string())]
-    )
-    return described.mapInArrow(parse, ELEMENTS)
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in SCHEMA.names[:5]}
+                if out := parsed(row, b.column("content")[k].as_py(), parsers[row["source_type"]]):
+                    yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+
+    return rows.mapInArrow(parse, ELEMENTS)
+
+
+def _by_text(rows: DataFrame) -> DataFrame:
+    read = rows.withColumn("read", text_files.decoded(F.col("content"))).drop("content")
+    each = read.select("*", F.posexplode(F.when(F.col("read.error").isNull(), text_files.parts(F.col("read.text"))).otherwise(F.array(F.lit(None).cast("string")))).alias("order", "text"))
+    kind = F.when(F.col("read.error").isNull(), "paragraph")
+    own = {"element_type": kind, "text": F.col("text"), "order": F.col("order"), "parse_error": F.col("read.error")}
+    return each.select(*[own.get(n, F.col(n) if n in SCHEMA.names[:5] else F.lit(None)).cast(t).alias(n) for n, t in _types()])
+
+
+def _types() -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(ELEMENTS)]
+
+
+def elements(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]] = PARSERS, formats: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per element of files that are at hand as path and content. formats names the suffixes that there are, if
+    they are known: without text, or without anything else, only one of the two ways is planned."""
+    rows = described(files)
+    other = [f for f in (formats or parsers) if f in parsers]
+    if formats is not None and not other:
+        return _by_text(rows)
+    made = _by_parsers(rows.filter(F.col("source_type").isin(other)), parsers)
+    return made if formats is not None and len(other) == len(formats) else made.unionByName(_by_text(rows.filter(~F.col("source_type").isin(other))))
+
+
+def documents(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]] = PARSERS, formats: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per file, in one pass: doc_key, doc_path, doc_id, category, source_type, text (of all elements, by lines), parse_error."""
+    rows = described(files)
+    names = ["doc_key", "doc_path", "doc_id", "category", "source_type", "text", "parse_error"]
+    read = text_files.decoded(F.col("content"))
+    plain = rows.withColumn("read", read).select(*names[:5], "read.text", F.col("read.error").alias("parse_error"))
+    other = [f for f in (formats or parsers) if f in parsers]
+    if not other:
+        return plain
+
+    def parse(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in names[:5]}
+                out = parsed(row, b.column("content")[k].as_py(), parsers[row["source_type"]])
+                error = out[0]["parse_error"] if out else None
+                yield pa.RecordBatch.from_pylist([row | {"text": None if error else "\n".join(e.get("text") or "" for e in out), "parse_error": error}], schema=schema)
+
+    schema = pa.schema([(n, pa.string()) for n in names])
+    made = rows.filter(F.col("source_type").isin(other)).mapInArrow(parse, ", ".join(f"{n} string" for n in names))
+    return made.unionByName(plain.filter(~F.col("source_type").isin(other)))
 
 
 def _source(reader, formats: tuple[str, ...]):
     return reader.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(formats) + "}")
 
 
+def _each_way(load: Callable[[tuple[str, ...]], DataFrame], formats: tuple[str, ...], parsers: dict) -> DataFrame:
+    """Text files and others are listed apart, so that neither are read to be left out."""
+    ways = [w for w in (tuple(f for f in formats if f in parsers), tuple(f for f in formats if f not in parsers)) if w]
+    return functools.reduce(DataFrame.unionByName, [elements(load(w), parsers, w) for w in ways])
+
+
 def read_elements(spark: SparkSession, path: str, formats: tuple[str, ...] = FORMATS, parsers: dict | None = None) -> DataFrame:
     """One row per element of the files under path with one of the suffixes (as they are written). No files, no rows."""
-    return elements(_source(spark.read, formats).load(path), PARSERS | (parsers or {}))
+    return _each_way(lambda some: _source(spark.read, some).load(path), formats, PARSERS | (parsers or {}))
 
 
 def stream_elements(spark: SparkSession, path: str, formats: tuple[str, ...] = FORMATS, parsers: dict | None = None) -> DataFrame:
     """read_elements as a stream: each file once, when it first appears."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    return elements(_source(spark.readStream, formats).schema(schema).load(path), PARSERS | (parsers or {}))
+    return _each_way(lambda some: _source(spark.readStream, some).schema(schema).load(path), formats, PARSERS | (parsers or {}))
