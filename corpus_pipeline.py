@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from clausewise.llm import decontaminate, lang_id, line_dedup, ngram_join, piece_sampling, queries, token_store
 
-#: Mean probabilities under which a language is not believed: of texts of LONG_BYTES or more, and of shorter ones,
-#: which are unsure but may be clean.
-LANGUAGE_SCORE, SHORT_SCORE, LONG_BYTES = 0.4, 0.3, 400
+#: The mean probability under which a language is not believed, for texts of any length: little above chance among four
+#: languages, as short clean texts are unsure.
+LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same fate; of an empty table nothing is left. Whole texts are read, however long.
     """
     model = lang_id.fit(docs, F.lit(True))
-    return lang_id.identify(docs, model, reject_below=LANGUAGE_SCORE, short=(LONG_BYTES, SHORT_SCORE), labels=False)
+    return lang_id.identify(docs, model, reject_below=LANGUAGE_SCORE, labels=False)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
