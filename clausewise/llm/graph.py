@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,17 @@ def unused(df: DataFrame, name: str) -> str:
     return out
 
 
+def aside(df: DataFrame, own: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its other columns than own under names that no operator uses, and a function that gives a result their names
+    and order back, with the columns that were added behind them; columns that the result has not are passed over."""
+    names = {c: c if c in set(own) else f"__other{k}" for k, c in enumerate(df.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(new).alias(old) for old, new in names.items() if new in out.columns], *[c for c in out.columns if c not in names.values()])
+
+    return df.select(*[df[f"`{old}`"].alias(new) for old, new in names.items()]), back
+
+
 def groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys of a partition that is sorted by them.
 

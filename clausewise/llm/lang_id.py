@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bytesops
+from . import bytesops, graph
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -199,24 +199,24 @@ def _scorer(model: Model):
     return score
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, reject_below: float | None = None, short: tuple[int, float] | None = None, labels: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None, reject_below: float | None = None, labels: bool = True) -> DataFrame:
     """docs with lang_pred and score (columns of these names are replaced), or without them, if labels is false.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every text
     if the model is None. keep: the columns that are returned with them (all by default).
-    reject_below: leave out the rows with ``und`` or a lower score. short: a number of bytes, and the least score of
-    texts of fewer bytes than that.
+    reject_below: leave out the rows with ``und`` or a lower score.
     """
     made = {"lang_pred": T.StringType(), "score": T.DoubleType()} if labels else {}
     keep = [c for c in docs.columns if c not in made] if keep is None else keep
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, kind) for c, kind in made.items()])
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    text, letters = graph.unused(docs, "text"), graph.unused(docs, "letters")
+    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias(text), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letters))
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model) if model else None
         for b in bytesops.batches(source):
-            lettered = b.column("__letters").to_numpy(zero_copy_only=False)
-            for at, end, data, offsets in bytesops.pieces(b.column("__text")):
+            lettered = b.column(letters).to_numpy(zero_copy_only=False)
+            for at, end, data, offsets in bytesops.pieces(b.column(text)):
                 best, value = np.full(end - at, -1), np.zeros(end - at)
                 full = np.flatnonzero(np.diff(offsets) > 0)
                 if score and len(full):
@@ -228,7 +228,6 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                 best[none], value[none] = -1, 0
                 names = pa.array([UNKNOWN if k < 0 else model.languages[k] for k in best], pa.string())
                 out = pa.RecordBatch.from_arrays([*[b.column(c).slice(at, end - at) for c in keep], *[names, pa.array(value)][: len(made)]], [*keep, *made])
-                bar = reject_below if short is None else np.where(np.diff(offsets) < short[0], short[1], reject_below)
-                yield out if reject_below is None else out.filter(pa.array((best >= 0) & (value >= bar)))
+                yield out if reject_below is None else out.filter(pa.array((best >= 0) & (value >= reject_below)))
 
     return source.mapInArrow(predict, schema)

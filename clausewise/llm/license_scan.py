@@ -175,6 +175,10 @@ def _frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+#: The columns that a scan adds.
+MADE = {"notice": T.StringType(), "notice_score": T.DoubleType(), "notice_line": T.LongType(), "file_licence": T.StringType(), "file_score": T.DoubleType()}
+
+
 def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, templates: dict[str, list[str]] | None = None, complete_threshold: float = 0.85, files: dict[str, list[str]] | None = None) -> DataFrame:
     """docs without text, with notice, notice_score, notice_line (of the best run of lines its first, from 0; nulls if
     no run reaches threshold), file_licence and file_score (of the whole text, from file_threshold on
@@ -185,6 +189,7 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
     by name, then the first line and then the shortest run wins. files: the complete texts, those of
     complete_texts() unless templates are given. Null and empty texts have no licence. Columns with these names are replaced.
     """
+    docs, back = graph.aside(docs.select(*[f"`{c}`" for c in docs.columns if c not in MADE]), ("text",))
     scorer = Scorer(TEMPLATES if templates is None else templates, files if files is not None else complete_texts() if templates is None else {})
     frequency = graph.cut(_frequencies(docs))
     own = docs.sparkSession.createDataFrame(pa.table({"term": scorer.terms.view(np.int64)}))
@@ -193,8 +198,8 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
     scorer.weigh(sum(documents), np.array([counted.get(int(x), 0) for x in scorer.terms.view(np.int64)]))
     line_bar, text_bar = np.where(scorer.complete, np.inf, threshold), np.where(scorer.complete, complete_threshold, file_threshold)
     line_marker, text_marker = scorer.markers(line_bar), scorer.markers(text_bar)
-    made = [("notice", T.StringType()), ("notice_score", T.DoubleType()), ("notice_line", T.LongType()), ("file_licence", T.StringType()), ("file_score", T.DoubleType())]
-    keep = [c for c in docs.columns if c != "text" and c not in dict(made)]
+    made = list(MADE.items())
+    keep = [c for c in docs.columns if c != "text"]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(*m) for m in made])
     lists = ["__line", "__segment", "__term", "__count"]  # the first line of each segment, or -1 for the text; the others by distinct word
     found_schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__block", T.StringType())] + [T.StructField(c, T.ArrayType(T.LongType())) for c in lists])
@@ -276,7 +281,8 @@ def scan(docs: DataFrame, threshold: float = 0.7, file_threshold: float = 0.5, t
     some = found.filter("__block IS NOT NULL")
     needed = some.select(F.col("__block").alias("__of"), F.explode(F.array_distinct("__term")).alias("term")).distinct()
     scored = some.groupBy("__block").cogroup(needed.join(frequency, "term").groupBy("__of")).applyInArrow(score, schema)
-    return found.filter("__block IS NULL").select(*keep, *[F.lit(None).cast(kind).alias(c) for c, kind in made]).unionByName(scored)
+    plain = found.filter("__block IS NULL").select(*keep, *[F.lit(None).cast(kind).alias(c) for c, kind in made])
+    return back(plain.unionByName(scored))
 
 
 def _runs(text: np.ndarray, line: np.ndarray, terms: np.ndarray, scorer: Scorer, marker: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,6 +335,8 @@ def inherit(scanned: DataFrame) -> DataFrame:
     are joined, not documents: each directory's ancestors meet the declaring ones, and documents get their
     directory's answer. A null path inherits nothing.
     """
+    mine = [c for c in scanned.columns if c not in ("licence", "licence_score", "licence_from")]
+    scanned, back = graph.aside(scanned.select(*mine), ("path", "notice", "notice_score", "file_licence", "file_score"))
     scanned = scanned.withColumn("__dir", parent(F.col("path")))
     best = F.min(F.struct((-F.round("file_score", 9)).alias("less"), F.col("file_licence").alias("licence"), F.col("file_score").alias("score")))
     declared = scanned.filter("file_licence IS NOT NULL AND path IS NOT NULL").groupBy(F.col("__dir").alias("above")).agg(best.alias("best")).select("above", "best.licence", "best.score")
@@ -342,4 +350,4 @@ def inherit(scanned: DataFrame) -> DataFrame:
     out = scanned.join(nearest, "__dir", "left")
     own = F.col("notice").isNotNull()
     out = out.withColumns({"licence": F.coalesce("notice", "dl"), "licence_score": F.when(own, F.col("notice_score")).otherwise(F.col("ds")), "licence_from": F.when(own, F.lit("notice")).otherwise(F.col("above"))})
-    return out.drop("__dir", "above", "dl", "ds")
+    return back(out.drop("__dir", "above", "dl", "ds"))

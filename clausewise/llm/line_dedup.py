@@ -228,7 +228,8 @@ def deduplicate(docs: DataFrame, near_chars: int = NEAR_CHARS, drop_emptied: boo
     drop_emptied: leave out documents of which only blank lines are left, if they had others.
     """
     made = ["n_lines", "n_removed", "kept_sha256"]
-    columns = [c for c in docs.columns if c not in made]
+    docs, back = graph.aside(docs.select(*[f"`{c}`" for c in docs.columns if c not in made]), ("doc_id", "text"))
+    columns = docs.columns
     others = [c for c in columns if c != "text"]
     parsed = _parsed(docs.select(*columns, F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64("text").alias("__th")), near_chars)
     gone = _removals(parsed, near_chars).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), "gone")
@@ -255,4 +256,4 @@ def deduplicate(docs: DataFrame, near_chars: int = NEAR_CHARS, drop_emptied: boo
             total, lost = b.column("__lines").to_numpy(), removed.to_numpy()
             yield out.filter(pa.array((total == 0) | (lost < total))) if drop_emptied else out
 
-    return joined.mapInArrow(remove, schema)
+    return back(joined.mapInArrow(remove, schema))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bytesops, units
+from . import bytesops, graph, units
 
 #: Units and nodes of lattices that are remembered, about; bytes of text that are taken at a time.
 REMEMBERED, NODES, PIECE = 120_000, 1_000_000, 1 << 19
@@ -275,14 +275,15 @@ def encode(docs: DataFrame, model_file: str, seed: int = 0, alpha: float = 1.0,
     kinds = {"pieces": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "pieces_crc32": T.LongType(), "lossless": T.BooleanType()}
     fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in made]
     schema = T.StructType([docs.schema[c] for c in keep] + fields[int(digest) :])
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("__key"))
+    text, key = graph.unused(docs, "text"), graph.unused(docs, "key")
+    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias(text), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias(key))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model_file, alpha)
         lattices = Lattices(vocabulary)
         for b in bytesops.batches(source):
-            keys = b.column("__key").to_numpy().view(U64)
-            for at, end, data, offsets in bytesops.pieces(b.column("__text"), PIECE):
+            keys = b.column(key).to_numpy().view(U64)
+            for at, end, data, offsets in bytesops.pieces(b.column(text), PIECE):
                 pieces, before = encode_piece(lattices, data, offsets, keys[at:end])
                 back, upto = decode_piece(vocabulary, pieces, before)
                 good = np.ones(end - at, bool)

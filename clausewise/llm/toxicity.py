@@ -8,6 +8,7 @@ what is sent to the executors stays small whatever the corpus.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bytesops
+from . import bytesops, graph
 
 BITS = 20
-#: The sample: so many labelled texts of either class at most, none of over so many characters.
-TOXIC_TEXTS, OTHER_TEXTS, LONGEST_TEXT = 2500, 4000, 20_000
+#: The sample: so many labelled texts of either class at most, and of each so many distinct features (those with the least hashes).
+TOXIC_TEXTS, OTHER_TEXTS, TEXT_FEATURES = 2500, 4000, 4096
+#: Settings (l1, alpha) that are tried on a slice of the learning rows, one row in SLICE.
+SETTINGS, SLICE = ((4.0, 0.4), (4.0, 1.5), (9.0, 0.4), (9.0, 1.5), (16.0, 0.4), (16.0, 1.5)), 4
 
 
 @dataclass
@@ -71,6 +74,33 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
     return Model(index, w[index], float(w[-1]))
 
 
+def total(model: Model, text: np.ndarray) -> float:
+    """The sum of the weights of a text's distinct features."""
+    at = np.minimum(np.searchsorted(model.index, text), max(len(model.index) - 1, 0))
+    return float(model.weight[at[model.index[at] == text]].sum() + model.bias) if len(model.index) else model.bias
+
+
+def choose(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, held: np.ndarray) -> Model:
+    """The model of all texts by the setting that has the least loss on the held ones when it learns from the others. Its
+    bias is moved so that a score of 0.5 is where the held texts part best (by the balance of precision and recall)."""
+    if not (labels[held].any() and labels[~held].any() and (labels[held] == 0).any() and (labels[~held] == 0).any()):
+        return train(texts, labels, weights)
+    some, rest = np.flatnonzero(held), np.flatnonzero(~held)
+    tried = []
+    for l1, alpha in SETTINGS:
+        model = train([texts[k] for k in rest], labels[rest], weights[rest], l1=l1, alpha=alpha)
+        s = np.array([total(model, texts[k]) for k in some])
+        loss = np.average(np.logaddexp(0, np.where(labels[some] == 1, -s, s)), weights=weights[some])
+        tried.append((loss, l1, alpha, s))
+    _, l1, alpha, s = min(tried, key=lambda x: x[0])
+    y, w = labels[some], weights[some]
+    shifts = np.arange(0.0, 3.01, 0.25)
+    balance = [2 * w[(s + x >= 0) & (y == 1)].sum() / max(1e-9, w[s + x >= 0].sum() + w[y == 1].sum()) for x in shifts]
+    shift = shifts[int(np.flatnonzero(np.array(balance) >= max(balance) - 0.01)[0])]
+    model = train(texts, labels, weights, l1=l1, alpha=alpha)
+    return Model(model.index, model.weight, model.bias + float(shift))
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -78,37 +108,41 @@ def sigmoid(x):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts: int = TOXIC_TEXTS, other_texts: int = OTHER_TEXTS) -> Model:
     """Train on the documents of labels (doc_id, toxic) for which learn (a condition on doc_id) holds.
 
-    The sample is bounded: of the texts of LONGEST_TEXT characters or less toxic_texts and other_texts,
-    those whose ids have the least hashes; the classes keep their true shares through importance weights. Labels that are
-    null are left out, and ids with several labels are toxic if any says so. With no labelled text
-    the model scores everything 0.
+    The sample is bounded: toxic_texts and other_texts, those whose ids have the least hashes, of any length; the classes
+    keep their true shares through importance weights. Settings and the place of 0.5 are chosen on a slice of the sample
+    (by a checksum of the id). Labels other than 0 and 1 are left out, nulls too, and ids with several labels are toxic if any says so;
+    of several texts of an id the one of the least hash teaches. With no labelled text the model scores everything 0.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     toxic, other = counts.get(1, 0), counts.get(0, 0)
     if not toxic + other:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
-    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT)
-    able = known.join(short.select("doc_id").distinct(), "doc_id").withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
+    able = known.join(docs.select("doc_id").distinct(), "doc_id").withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
     first = [able.filter(F.col("toxic") == k).orderBy("place", "doc_id").limit(most) for k, most in ((1, toxic_texts), (0, other_texts))]
-    chosen = short.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1]).drop("place")), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1]).drop("place")), "doc_id")
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
 
     def extract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bytesops.batches(source):
             for at, end, data, offsets in bytesops.pieces(b.column("text")):
                 of, found = features(data, offsets)
-                both = np.unique((of.astype(np.int64) << BITS) | found)
+                both = np.unique((of.astype(np.int64) << BITS) | found)  # features are hashes, so the first ones are as good as any
+                cut = np.searchsorted(both >> BITS, np.arange(end - at + 1))
+                both = both[np.arange(len(both)) - np.repeat(cut[:-1], np.diff(cut)) < TEXT_FEATURES]
                 cut = np.searchsorted(both >> BITS, np.arange(end - at + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), b.column("toxic").slice(at, end - at), lists], ["doc_id", "toxic", "features"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("toxic", known.schema["toxic"].dataType), T.StructField("features", T.ArrayType(T.IntegerType()))])
-    got = chosen.dropDuplicates(["doc_id"]).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
+    got = chosen.mapInArrow(extract, schema).toArrow().sort_by("doc_id")
     y = np.array(got.column("toxic").to_pylist(), np.float64)
     lists = got.column("features").combine_chunks()
     flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
     ratio = (other / max(1, (y == 0).sum())) / max(1e-9, toxic / max(1, (y == 1).sum())) if toxic and other else 1.0
-    return train([flat[a:b].astype(np.int64) for a, b in zip(cut, cut[1:], strict=False)], y, np.where(y == 1, 1.0, ratio))
+    texts = [flat[a:b].astype(np.int64) for a, b in zip(cut, cut[1:], strict=False)]
+    held = np.array([zlib.crc32(f"slice {k}".encode()) % SLICE == 0 for k in got.column("doc_id").to_pylist()], bool)
+    return choose(texts, y, np.where(y == 1, 1.0, ratio), held)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -119,13 +153,14 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")] if keep is None else keep
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
+    text = graph.unused(docs, "text")
+    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias(text))
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(1 << BITS, np.float32)
         weight[model.index] = model.weight
         for b in bytesops.batches(source):
-            for at, end, data, offsets in bytesops.pieces(b.column("__text")):
+            for at, end, data, offsets in bytesops.pieces(b.column(text)):
                 of, found = features(data, offsets)
                 some = weight[found] != 0
                 both = np.unique((of[some].astype(np.int64) << BITS) | found[some])
