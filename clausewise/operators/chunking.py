@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, lines, strip, word_count
+from ..sources import scratch
 
 # Fixed values of the chunker.
 TARGET, LONGEST, OVERLAP = 1200, 2000, 200
@@ -152,8 +153,12 @@ def offsets(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Ranks and running totals are made on one row per document, in ranges of keys that are ranked apart; what lies
     before each range is a running total of one row per range. Chunks get theirs by a join. The bounds of the ranges are
-    keys with the least hashes, as many as there are shuffle partitions: they decide on balance alone.
+    keys with the least hashes, as many as there are shuffle partitions: they decide on balance alone. chunks are
+    computed once and written, as they are read for counts, bounds and the result.
     """
+    path, schema = scratch.folder(chunks.sparkSession, "chunks"), chunks.schema
+    chunks.write.parquet(path)
+    chunks = chunks.sparkSession.read.schema(schema).parquet(path)
     n_ranges = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = chunks.select(key).distinct().orderBy(F.xxhash64(key), key).limit(n_ranges)
     bounds = drawn.agg(F.array_sort(F.collect_list(key)).alias("bounds"))

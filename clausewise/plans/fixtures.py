@@ -54,9 +54,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where the table has fewer files than there are cores: a file may be one row group,
+    and so one task, and texts take far longer to work on than to move. A table of many files is read as it lies."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: prose with clauses, and a stub of a contract, with a negative id, beside every 50th."""
-    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    docs, text = documents(spark, sf_dir), F.col("text")
     for modulus, clauses in CLAUSES.items():
         added = F.lit("")
         for k, clause in clauses.items():

@@ -76,7 +76,7 @@ def template_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fallback_model_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms are fitted on every tenth document, the library, and stored; the others are transformed with them, cut to 1024
     components, and matched."""
-    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = fixtures.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text")
     path, is_library = scratch.folder(spark, "tfidf"), F.col("id").cast("bigint") % 10 == 0
     tfidf.fit(docs.filter(is_library), key="id").save(spark, path)
     made = tfidf.transform(docs, "text", "v", tfidf.Model.load(spark, path)).select("id", V.resize(F.col("v"), 1024).alias("embedding"))
@@ -171,7 +171,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.Store(spark, path, path.rsplit("/", 1)[1].replace("-", "_"))
     store.create_all()
     library, docs = fixtures.templates(spark, sf_dir), _stored(spark, sf_dir)
-    texts = fixtures.table(spark, sf_dir, "documents").select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("els"))
+    texts = fixtures.documents(spark, sf_dir).select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("els"))
     chunks = chunking.chunk_documents(texts, F.col("els")).withColumns({"doc_id": F.concat(F.lit("d"), "doc_id"), "chunk_id": F.concat(F.lit("d"), "chunk_id")})
     store.insert("templates", library)
     store.insert("template_chunks", library.select(F.concat_ws(":", "id", F.lit(0)).alias("chunk_id"), F.col("id").alias("template_id"), F.lit(0).alias("ord"), F.col("title").alias("text")))

@@ -75,7 +75,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents with vectors of latent meaning through the file index and back, per source."""
-    docs = fixtures.table(spark, sf_dir, "documents")
+    docs = fixtures.documents(spark, sf_dir)
     found = chunking.chunk_documents(docs.select("doc_id", chunking.paragraphs(F.col("text"), "\n").alias("els")), F.col("els"))
     path = scratch.folder(spark, "files")
     latent.fit(docs.select("doc_id", "text"), components=64).save(spark, f"{path}-encoder")

@@ -12,7 +12,7 @@ from . import fixtures
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, sf_dir, "documents").select("doc_id", C.paragraphs(F.col("text"), "\n").alias("els"))
+    return fixtures.documents(spark, sf_dir).select("doc_id", C.paragraphs(F.col("text"), "\n").alias("els"))
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def title_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.weights(fixtures.table(spark, sf_dir, "documents"))
+    return tfidf.weights(fixtures.documents(spark, sf_dir))
 
 
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
