@@ -107,7 +107,8 @@ def slot(feature):
     return (h ^ (h >> 32)) >> (64 - toxicity.BITS)
 
 
-def test_op8_equals_plain_loops(spark):
+def test_op8_equals_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SETTINGS", ((2.0, 0.15),))
     made = [" ".join(f"w{(k * k + i * (k % 7 + 1)) % 40}" for i in range(k % 23 + 1)) + (" vile" if k % 3 == 0 else " Kind É") for k in range(120)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(made)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
@@ -134,7 +135,26 @@ def test_op8_equals_plain_loops(spark):
     assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(learnt, abs=1e-9) and learnt
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     for k in range(120):
-        assert got[k] == pytest.approx(1 / (1 + math.exp(-weight("bias") - sum(learnt.get(i, 0) for i in slots[k]))), abs=1e-6)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-model.bias - sum(learnt.get(i, 0) for i in slots[k]))), abs=1e-6)
+    assert model.bias - weight("bias") in (pytest.approx(x / 4, abs=1e-9) for x in range(13))
+
+
+def test_op8_chooses_settings_that_find_most_held_out_toxic_texts(spark):
+    """Against the labels of sf0.1: most toxic held-out texts are found at 0.5, and few others are called toxic."""
+    sf = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL")
+    held = queries.op8_toxicity(spark, sf).filter("held_out").join(known, "doc_id").select("predicted", "toxic").collect()
+    found, all_ = sum(r["predicted"] and r["toxic"] for r in held), sum(r["toxic"] for r in held)
+    assert found > 0.7 * all_ and sum(r["predicted"] and not r["toxic"] for r in held) < 0.02 * len(held)
+
+
+def test_op8_learns_from_texts_of_any_length_and_the_same_ones_each_time(spark):
+    long = " ".join(f"word{k}" for k in range(6000))
+    docs = spark.createDataFrame([(1, long + " vile"), (2, long), (2, "kind words"), (3, "vile thing"), (4, "a kind thing")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (4, 7), (None, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(docs.repartition(n), labels, F.lit(True)) for n in (1, 3)]
+    assert models[0].bias == models[1].bias != 0 and (models[0].index == models[1].index).all()
+    assert toxicity.fit(docs.filter("doc_id = 1"), labels, F.lit(True)).bias > 0
 
 
 def test_op8_ranks_held_out_texts(spark):
