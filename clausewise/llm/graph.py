@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from . import bytesops
 
+#: A key with more than one in HOT of all rows is dealt to several tasks; there are fewer such keys than HOT.
+HOT = 1000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, so that a lost executor costs no recomputation."""
@@ -60,6 +63,21 @@ def aside(df: DataFrame, own: Iterable[str]) -> tuple[DataFrame, Callable[[DataF
     return df.select(*[df[f"`{old}`"].alias(new) for old, new in names.items()]), back
 
 
+def join_dealt(rows: DataFrame, keyed: DataFrame, counts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows joined with keyed by keys, where both keyed and counts have n, the number of rows with these keys.
+
+    counts (read twice, so a kept table) names the hot keys, those with over one in HOT of its rows. A hot key is cut by a hash of the columns by
+    into as many parts as it has such shares: its rows meet copies of its row of keyed in that many tasks. Only hot keys are
+    broadcast, fewer than HOT whatever the size of the data.
+    """
+    share = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / HOT)
+    parts = F.ceil(F.col("n") / share)
+    hot = counts.filter(F.col("n") > share).select(*keys, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*by), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    copies = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > share, parts).otherwise(1) - 1)))
+    return dealt.join(copies.drop("n"), [*keys, "__part"]).drop("__part")
+
+
 def groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys of a partition that is sorted by them.
 

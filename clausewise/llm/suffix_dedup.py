@@ -161,11 +161,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFr
 
     docs: doc_id, th (hash of the text) and text.
     """
-    twice = _anchors(docs, length, True).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    found = graph.cut(_anchors(docs, length, False).join(twice, "key"))
+    twice = graph.cut(_anchors(docs, length, True).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = graph.cut(graph.join_dealt(_anchors(docs, length, False), twice, twice, ["key"], ["doc_id", "th", "start"]))
     phrases = found.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "left", "more")).alias("one"))
     phrases = graph.cut(phrases.select("key", "whole", "copies", "one.*"))
-    settled = found.join(phrases.filter("copies > 1").select("key", "whole"), ["key", "whole"]).select("doc_id", "th", "start", "more")
+    whole = phrases.filter("copies > 1").select("key", "whole", F.col("copies").alias("n"))
+    settled = graph.join_dealt(found, whole, whole, ["key", "whole"], ["doc_id", "th", "start"]).select("doc_id", "th", "start", "more")
     ends = phrases.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 AND least = 1").select("key", "kinds")
     ends = phrases.join(ends, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "kinds", "copies", "start", "left", "more")).alias("ends"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
