@@ -212,8 +212,8 @@ def _removals(parsed: DataFrame, near_chars: int) -> DataFrame:
     texts = graph.cut(_texts(parsed, wanted))
     close = graph.cut(texts.select("line_id", "first", "line").join(_sharing(texts), "line_id"))
     near = _near(close, near_chars).withColumn("near", F.lit(True))
-    bad = lines.select("line_id", "h1", "h2", "first", "n").join(near, "line_id", "left").filter("n > 1 OR near").select("h1", "h2", "first", F.col("near").isNotNull().alias("near"))
-    here = _occurrences(parsed).join(bad, ["h1", "h2"])
+    bad = lines.select("line_id", "h1", "h2", "first", "n").join(near, "line_id", "left").filter("n > 1 OR near").select("h1", "h2", "first", "n", F.col("near").isNotNull().alias("near"))
+    here = graph.join_dealt(_occurrences(parsed), bad, lines, ["h1", "h2"], ["doc_id", "th", "no"])
     later = ~F.struct("doc_id", "th", "no").eqNullSafe(F.col("first"))
     return here.filter(F.col("near") | later).groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone"))
 
