@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z) and cut into words. Every run of ``n`` consecutive
 words of a benchmark item is a window; an item of fewer words, but not none, is
 one shorter window. The windows' hashes are broadcast (behind a check of their
-number), every window of every document is probed against them, and a hit counts
+bytes, words and items included; beyond it they are joined by a shuffle), every window of every document is probed against them, and a hit counts
 only when the words themselves are equal. Only hits are shuffled.
 """
 
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that are broadcast at most; more are joined by a shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of windows, with their words and items, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 128 << 20
+#: What a row of a broadcast table and an item of an array take beside their values, about.
+ROW_BYTES, ITEM_BYTES = 96, 16
 #: Windows of each length that begin in one part of a text.
 PART = 64
 
@@ -57,7 +59,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     benchmark, or one without words, hits nothing.
     """
     windows = item_windows(benchmark, n)
-    per_len = {r["len"]: r["rows"] for r in windows.groupBy("len").agg(F.count("*").alias("rows")).collect()}  # n rows at most
+    named = F.aggregate("items", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x.cast("string")) + ITEM_BYTES)
+    takes = F.octet_length("words") + named + ROW_BYTES
+    per_len = {r["len"]: r["bytes"] for r in windows.groupBy("len").agg(F.sum(takes).alias("bytes")).collect()}  # n rows at most
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
     head = F.when(F.col("part") == 0, F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h"))))
     head = F.coalesce(head, F.array().cast("array<struct<pos:int,len:int,h:bigint>>"))
@@ -68,7 +72,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     probes = [_probes(F.col("w"), size) for size in sorted(per_len)]
     # The row at pos 0 of the first part stands for the document itself and is never joined away.
     place = F.when(F.col("pos") > 0, F.col("part") * PART + F.col("pos")).otherwise(0).alias("pos")
-    if sum(per_len.values()) <= BROADCAST_WINDOWS:
+    if sum(per_len.values()) <= BROADCAST_BYTES:
         probe = base.select("doc_id", "th", "size", "part", "w", F.explode(F.concat(head, *probes)).alias("p")).select("doc_id", "th", "size", "part", "w", "p.*")
         found = probe.join(F.broadcast(windows.withColumnRenamed("len", "wlen")), "h", "left")
         found = found.filter((F.col("pos") == 0) | (F.col("words") == F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("len")), " ")))

@@ -200,9 +200,9 @@ def brute_windows(docs, items, n=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [128 << 20, 0])
 def test_op10_equals_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     long = " ".join(f"w{k}" for k in range(40))
     items = [(1, long), (2, "Short Item É"), (3, None), (4, "..."), (5, " ".join(f"w{k}" for k in range(5, 25))), (5, "one")]
     docs = [(1, long.upper()), (2, "x short, item É y"), (3, "short item é"), (4, None), (5, ""), (6, long + " z " + long), (7, "a w1 w2 w3 w4"), (7, "one"), (8, "one"), (8, "one"), (None, "one")]
@@ -218,6 +218,19 @@ def test_op10_equals_brute_force(spark, monkeypatch, limit):
     assert decontaminate.decontamination_report(d.limit(0), b).collect() == []
 
 
+def test_op10_broadcast_counts_bytes(spark, monkeypatch):
+    # few windows, but one that many items share: its items alone exceed the bound
+    docs = spark.createDataFrame([(1, "the same item")], "doc_id long, text string")
+    items = spark.createDataFrame([(f"item-{k:04d}", "the same item") for k in range(300)], "item_id string, text string")
+    sent = {}
+    for bound in (300 * 9, 1 << 20):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+        found = decontaminate.hits(docs, items)
+        sent[bound] = "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
+        assert [(r["n_words"], len(r["items"])) for r in found.collect()] == [(3, 300)]
+    assert list(sent.values()) == [False, True]
+
+
 def cosines(text, templates, idf, default):
     a = Counter(words_of(text))
     out = {}
