@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, let, strip
 
 # The patterns of the reference results.
-SPACED = r"(?iu)^(?:договор|д о г о в о р)"
+SPACED = r"(?:договор|д о г о в о р)"
 SPACED_WORD = r"[Дд]\s+[Оо]\s+[Гг]\s+[Оо]\s+[Вв]\s+[Оо]\s+[Рр]"
 NUMBER = r"(?U)\s*№\s*[\w\s\-/.]+.*$"
 NUMBER_MARK, HASH_MARK = r"(?U)\s*№\s*[\w\s\-/.]*", r"(?U)\s*#\s*[\w\s\-/.]*"
 PLACE_OR_DATE = r"(?U)^(?:[гГ]\.\s*|[оО][тТ]\b\s*)"
 DATE_OR_NUMBER = r"(?iuU)\s+(?:от\s+\d{2}\.\d{2}\.\d{4}|№\s+[\w\s\-/.]+)"
 
+#: Paragraphs and lines are searched as they are, and only those that are found are stripped.
+AFTER_BLANKS = r"(?iuU)^\s*" + SPACED
+FIRST_WORD = r"(?U)^\s*(\S+)"
+
 
 def from_heading(paragraphs: Column) -> Column:
     """From the first paragraph that begins with the word for contract, with what follows it; null if there is none."""
-    texts = F.transform(paragraphs, strip)
-    first = F.get(F.filter(F.transform(texts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: x["t"].rlike(SPACED)), 0)
-
-    def title(ts: Column) -> Column:
-        def of(x: Column) -> Column:
-            head = strip(F.regexp_replace(F.regexp_replace(x["t"], SPACED_WORD, "ДОГОВОР"), "(?s)" + NUMBER, ""))
-            follows = F.coalesce(F.get(ts, x["i"] + 1), F.lit(""))
-            return F.when(x.isNotNull(), collapse(F.concat_ws(" ", head, F.when((follows != "") & ~follows.rlike(PLACE_OR_DATE), follows))))
+    place = F.array_position(F.transform(paragraphs, lambda t: t.rlike(AFTER_BLANKS)), F.lit(True)).cast("int")
 
-        return let(first, of)
+    def title(at: Column) -> Column:
+        head = strip(F.regexp_replace(F.regexp_replace(strip(F.get(paragraphs, at - 1)), SPACED_WORD, "ДОГОВОР"), "(?s)" + NUMBER, ""))
+        with_next = lambda t: F.when((t != "") & ~t.rlike(PLACE_OR_DATE), t)
+        return F.when(at > 0, collapse(F.concat_ws(" ", head, let(strip(F.get(paragraphs, at)), with_next))))
 
-    return let(texts, title)
+    return let(place, title)
 
 
 def _without_numbers(line: Column, english: bool) -> Column:
@@ -70,13 +70,15 @@ def from_first_paragraph(paragraphs: Column) -> Column:
         return F.when(at > 0, strip(F.substring(t, F.lit(1), at - 1))).otherwise(F.array_join(kept, " "))
 
     numbered = lambda t: F.regexp_instr(t, F.lit(DATE_OR_NUMBER)) > 0
-    named = F.filter(F.transform(F.filter(F.transform(paragraphs, strip), lambda t: t != ""), lambda t: F.struct(numbered(t).alias("n"), title(t).alias("t"))), lambda x: x["n"] | (x["t"] != ""))
-    return F.coalesce(F.get(named, 0)["t"], F.lit(""))
+    word = lambda t: F.lower(F.regexp_extract(t, FIRST_WORD, 1))
+    named = F.filter(paragraphs, lambda t: let(word(t), lambda w: (w != "") & (~w.isin("№", "от") | numbered(strip(t)))))
+    return F.coalesce(let(strip(F.get(named, 0)), title), F.lit(""))
 
 
 def from_page_lines(lines_: Column) -> Column:
     """From the first line with either word for contract, without numbers; a line with both gives its text twice. Empty if none."""
-    first = F.get(F.filter(F.transform(lines_, collapse), lambda t: F.lower(t).rlike("contract|договор")), 0)
+    named = lambda t: t.contains("contract") | t.contains("договор")
+    first = collapse(F.get(F.filter(lines_, lambda t: let(F.lower(t), named)), 0))
 
     def of(t: Column) -> Column:
         english = F.when(F.lower(t).contains("contract"), _without_numbers(t, True)).otherwise("")

@@ -240,6 +240,11 @@ def test_titles(spark):
     assert one(spark, ["№ 5", "Акт от Ивана"], titles.from_first_paragraph, paragraphs) == "Акт"
     assert one(spark, ["x", "Contract Договор № 5"], titles.from_page_lines, paragraphs) == "Contract Договор Contract Договор"
     assert one(spark, [], titles.from_page_lines, paragraphs) == ""
+    # blanks around a line and words at its end decide nothing; nulls are passed over
+    assert one(spark, [" Акт к договору", None, "\tДоговор\u00a0№ 7 ", "  "], titles.from_heading, paragraphs) == "Договор"
+    assert one(spark, ["договор", " от 5 мая"], titles.from_heading, paragraphs) == "договор"
+    assert one(spark, [" \u00a0", "ОТ Ивана", None, " № 5 от 01.02.2024", "Акт ОТ x"], titles.from_first_paragraph, paragraphs) == "№ 5"
+    assert one(spark, [None, "  the  CONTRACT  № 4 "], titles.from_page_lines, paragraphs) == "the CONTRACT"
 
 
 def test_reports_and_store(spark):
