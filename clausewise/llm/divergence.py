@@ -35,11 +35,12 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
     while at < len(text):
         end = at + PART
         part = text[at:end].translate(_LOWER)
-        if end < len(text) and (cut := part.rfind(b" ")) >= 0:
+        # a part begins with the blank that ended the one before, which must not end it again
+        if end < len(text) and (cut := part.rfind(b" ", 1)) >= 0:
             part, end = part[:cut], at + cut
         elif end < len(text):  # a word longer than a part
             rest = text[at:].translate(_LOWER)
-            end = at + (cut if (cut := rest.find(b" ")) >= 0 else len(rest))
+            end = at + (cut if (cut := rest.find(b" ", 1)) >= 0 else len(rest))
             part = rest[: end - at]
         yield part.split()
         at = end

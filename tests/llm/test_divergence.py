@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from itertools import islice
 
 import duckdb
 import pytest
@@ -79,6 +80,18 @@ def test_op12_cuts_long_texts_between_words(monkeypatch):
     assert [w.decode() for part in divergence.terms(text) for w in part] == ["ab", "cd", "efghijklmnopqrstuvwxyz", "ÄÖ", "the", "end", "of", "it"]
 
 
+@pytest.mark.parametrize("text", [" " + "q" * 30, "a " + "q" * 30, "a " + "q" * 30 + " " + "r" * 30, "   " + "q" * 9 + " b", " " * 25, "q" * 25 + " "])
+def test_op12_comes_to_an_end_with_long_words_behind_blanks(monkeypatch, text):
+    monkeypatch.setattr(divergence, "PART", 10)
+    parts = list(islice(divergence.terms(text.encode()), 50))
+    assert len(parts) < 50 and [w.decode() for part in parts for w in part] == text.split()
+
+
+def test_op12_counts_words_longer_than_a_part(spark):
+    rows = [(f"the {'q' * (divergence.PART + 5)} the x{'y' * k}", "en", "ab"[k % 2]) for k in range(4)]
+    assert shown(divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string"), min_docs=2)) == brute(rows, 2)
+
+
 def test_op12_equals_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
