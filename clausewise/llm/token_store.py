@@ -10,6 +10,7 @@ protocol covers retried tasks. A document's place among all ids follows from the
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,10 +30,25 @@ RUN = 1 << 13
 SCHEMA = "part int, seq int, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, file binary"
 
 
+#: Letters of ASCII, its marks, and the first bytes of two-byte characters that are letters: U+00C0-017F but for two, and U+0400-047F.
+_LETTER, _MARK, _LEAD = np.zeros((3, 256), bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+#: The characters that stand for bytes in the tokens of byte-level vocabularies.
+_SHOWN = np.array([33 <= b <= 126 or 161 <= b <= 172 or b >= 174 for b in range(256)])
+_CHARACTER = np.where(_SHOWN, np.arange(256), 255 + np.cumsum(~_SHOWN)).astype("<u4")
+
+
 @functools.cache  # once in each worker process
 def _tokenizer(file: str):
-    """The tokenizer of a file, and the bytes of each of its ids, if the characters of its tokens stand for bytes."""
-    from tokenizers import Tokenizer
+    """The tokenizer of a file; the bytes of each of its ids, if the characters of its tokens stand for bytes; its model for
+    words in these characters with a blank before each, or None; and the marks before which a text may be cut behind a letter.
+
+    With the usual pattern of byte-level vocabularies no token joins a letter to a mark behind it, and a blank with letters is one word.
+    Where added tokens could say otherwise, or the tokenizer is of another kind, there are no such marks or no such model.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(file)
     size = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
@@ -40,14 +56,35 @@ def _tokenizer(file: str):
         size[i] = len(token)
     for i, token in tokenizer.get_added_tokens_decoder().items():
         size[i] = len(token.content.encode())
-    return tokenizer, size
+    spec = json.loads(tokenizer.to_str())
+    pattern, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+    words, marks = None, np.zeros(256, bool)
+    usual = pattern.get("type") == "ByteLevel" and pattern.get("use_regex") and not pattern.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+    if usual and not spec["normalizer"] and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        marks = _MARK.copy()
+        for raw in (t["content"].encode() for t in added):
+            marks[[y for x, y in zip(raw, raw[1:], strict=False) if _LETTER[x]]] = False
+        if not any(t["content"].strip().isalpha() for t in added):
+            words = Tokenizer(tokenizer.model)
+            words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return tokenizer, size, words, marks
+
+
+def _one_word(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether each part of the bytes is a blank and letters after it; parts begin where begin says."""
+    good = _LETTER[data] | _LEAD[data]
+    behind = data[:-1]
+    good[1:] |= _LEAD[behind] & (data[1:] & 0xC0 == 0x80) & ~((behind == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    good[begin] = data[begin] == 32
+    return np.logical_and.reduceat(good, begin) & (np.diff(begin, append=len(data)) > 1)
 
 
 class Encoder:
-    """Ids of texts by a file of the tokenizers library. Units between blanks are encoded once and remembered."""
+    """Ids of texts by a file of the tokenizers library. Units between blanks, and before marks where no token joins these to
+    letters, are encoded once and remembered."""
 
     def __init__(self, tokenizer_file: str):
-        self.tokenizer, self.size = _tokenizer(tokenizer_file)
+        self.tokenizer, self.size, self.words, self.marks = _tokenizer(tokenizer_file)
         self.clear()
 
     def clear(self) -> None:
@@ -59,6 +96,11 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         start, end = units.blank_units(data, offsets)
+        if self.marks.any():
+            first = np.zeros(len(data), bool)
+            first[1:] = self.marks[data[1:]] & _LETTER[data[:-1]]
+            first[start] = True
+            start, end = units.spans(first, len(data))
         if self.seen.full():
             self.clear()
         number, new = self.seen.look_up(data, start, end)
@@ -77,20 +119,27 @@ class Encoder:
         found, held = [], 0
         first, count = np.full(len(start), -1), np.zeros(len(start), np.int64)
         some = np.flatnonzero(units.BLANK[data[start]] & ~units.ends_blank(data, start, end))
-        size = (end - start)[some]
-        joined = data[units.expand(start[some], size)].tobytes()
-        stop = np.cumsum(size)
-        begin = np.append(0, stop)
-        cuts = np.unique(np.append(0, np.minimum(np.searchsorted(stop, np.arange(RUN, len(joined) + RUN, RUN)) + 1, len(some)))).tolist()
-        runs = list(zip(cuts, cuts[1:], strict=False))
-        for (lo, hi), ids in zip(runs, self._ids([joined[begin[lo] : begin[hi]] for lo, hi in runs]), strict=True):
-            reached = np.cumsum(self.size[ids]) + begin[lo]
-            at = np.searchsorted(reached, stop[lo:hi])
-            if len(ids) and at[-1] == len(ids) - 1 and np.array_equal(reached[at], stop[lo:hi]):
-                cut = np.append(0, at + 1)
-                first[some[lo:hi]], count[some[lo:hi]] = cut[:-1] + held, np.diff(cut)
-                found.append(ids)
-                held += len(ids)
+        word = np.zeros(len(some), bool)
+        if self.words and len(some):
+            size = (end - start)[some]
+            word = _one_word(data[units.expand(start[some], size)], np.cumsum(size) - size)
+        for own, encode in ((some[word], self._word_ids), (some[~word], self._ids)):
+            if not len(own):
+                continue
+            size = (end - start)[own]
+            joined = data[units.expand(start[own], size)].tobytes()
+            stop = np.cumsum(size)
+            begin = np.append(0, stop)
+            cuts = np.unique(np.append(0, np.minimum(np.searchsorted(stop, np.arange(RUN, len(joined) + RUN, RUN)) + 1, len(own)))).tolist()
+            runs = list(zip(cuts, cuts[1:], strict=False))
+            for (lo, hi), ids in zip(runs, encode([joined[begin[lo] : begin[hi]] for lo, hi in runs]), strict=True):
+                reached = np.cumsum(self.size[ids]) + begin[lo]
+                at = np.searchsorted(reached, stop[lo:hi])
+                if len(ids) and at[-1] == len(ids) - 1 and np.array_equal(reached[at], stop[lo:hi]):
+                    cut = np.append(0, at + 1)
+                    first[own[lo:hi]], count[own[lo:hi]] = cut[:-1] + held, np.diff(cut)
+                    found.append(ids)
+                    held += len(ids)
         raw = data.tobytes()
         rest = np.flatnonzero(first < 0)
         for k, ids in zip(rest.tolist(), self._ids([raw[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]), strict=True):
@@ -102,6 +151,12 @@ class Encoder:
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
 
+    def _word_ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts of words with a blank before each."""
+        blank = chr(_CHARACTER[32])
+        shown = [_CHARACTER[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le").replace(blank, " " + blank) for x in texts]
+        return [np.array(e.ids, np.int32) for e in self.words.encode_batch_fast(shown, add_special_tokens=False)]
+
 
 @functools.cache  # a worker's tasks go on with what the ones before have learnt
 def _encoder(tokenizer_file: str) -> Encoder:

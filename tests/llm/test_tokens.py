@@ -125,6 +125,50 @@ def test_op6_equals_the_library_beyond_its_memory(spark):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+MARKS = [*"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~", "...", "'s", "'S", "'ll x", ").", "%%%", "<|endoftext|>", "|>", "<|endoftext|", "1", "×y", "é!", "\u2019s", "\n", "\t.", "\xa0.", "\u3000"]
+WORDS = ["alpha", "BETA", "été", "ñandú", "straße", "Ÿŉ", "мир", "Ёж", "ѿ", "a×b", "c÷d", "x2", "δέ", "中文", "ç", "Ã", "s", "ll", "endoftext"]
+
+
+def test_op6_equals_the_library_for_words_and_marks():
+    encoder, library = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"{gap}{w}{m}{w}{gap}{w}{m}" for w in WORDS for m in MARKS for gap in (" ", "", "\n", "  ")] + [" ".join(w + m for w in WORDS for m in MARKS)]
+    for _ in range(2):
+        for text in texts:
+            data = text.encode()
+            assert encoder(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_op6_encodes_a_word_once_whatever_mark_follows():
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    data = "".join(f" word{a}{b}{m}" for a in "abcdefgh" for b in "stuvwxyz" for m in ",.;:!?)").encode()
+    encoder(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert encoder.seen.size == 64 + 7
+
+
+@pytest.mark.parametrize("added", [{"content": "wor"}, {"content": " word"}, {"content": "d,e"}, {"content": "rd", "single_word": True}, {"content": "-", "lstrip": True, "rstrip": True}, {"content": "<é!>"}])
+def test_op6_equals_the_library_with_added_tokens(tmp_path, added):
+    from tokenizers import AddedToken
+
+    library, file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), str(tmp_path / "t.json")
+    library.add_tokens([AddedToken(**added)])
+    library.save(file)
+    encoder = token_store.Encoder(file)
+    for text in (" word, words; swords d,e word", "a word,end", "the rd, rd", "word-word", "<é!> x<é!>y, é!"):
+        data = text.encode()
+        assert encoder(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("pattern", ["Whitespace", "Digits", "ByteLevel"])
+def test_op6_cuts_only_at_blanks_with_other_patterns(tmp_path, pattern):
+    from tokenizers import pre_tokenizers
+
+    library, file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), str(tmp_path / "t.json")
+    library.pre_tokenizer = getattr(pre_tokenizers, pattern)(**({"add_prefix_space": False, "use_regex": False} if pattern == "ByteLevel" else {}))
+    library.save(file)
+    _, _, words, marks = token_store._tokenizer(file)
+    assert words is None and not marks.any()
+
+
 def test_op6_empty_table(spark, tmp_path):
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
     assert token_store.read(spark, str(tmp_path / "t")).collect() == []
