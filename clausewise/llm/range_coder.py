@@ -127,7 +127,7 @@ class _Model:
     """The state of all lanes. begin() makes the mixture, cut() and find() use it, end() takes the symbol that came.
 
     Symbols count from 1. An entry of the memory is the symbol that came last, and in two bits the length of its
-    success; 0 expects nothing.
+    success; 0 expects nothing. All places that are looked up lie within their tables; "clip" spares numpy its check of that.
     """
 
     def __init__(self, lanes: int, tables: _Tables):
@@ -146,26 +146,26 @@ class _Model:
             self.first, self.slots, self.last, self.before = self.first[:lanes], self.slots[:lanes], self.last[:lanes], self.before[:lanes]
 
     def begin(self) -> None:
-        self.at = self.hash_last.take(self.last)
+        self.at = self.hash_last.take(self.last, mode="clip")
         self.at ^= self.before
         self.at += self.first
-        entry = self.memory.take(self.at)
+        entry = self.memory.take(self.at, mode="clip")
         self.seen = entry & 3
         entry >>= 2
         self.guess = entry.astype(np.int64)
         self.slot = self.slots + self.seen
-        self.trusted = self.trust.take(self.slot)
+        self.trusted = self.trust.take(self.slot, mode="clip")
         self.extra = self.trusted >> 16 - MIX
         self.rest = (1 << MIX) - self.extra
         self.extra <<= SLOTS
-        self.base = self.table_at.take(self.last)
+        self.base = self.table_at.take(self.last, mode="clip")
 
     def cut(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mixture's share of the symbols below symbol, and of symbol."""
         at = self.base + symbol
-        width = self.upto.take(at)
+        width = self.upto.take(at, mode="clip")
         at -= 1
-        below = self.upto.take(at)
+        below = self.upto.take(at, mode="clip")
         width -= below
         width *= self.rest
         below *= self.rest
@@ -176,12 +176,12 @@ class _Model:
 
     def find(self, share: np.ndarray) -> np.ndarray:
         """The symbol in whose part of the mixture the share lies."""
-        end = self.upto.take(self.base + self.guess)
+        end = self.upto.take(self.base + self.guess, mode="clip")
         end *= self.rest
         share = np.where(share < end + self.extra, np.minimum(share, np.maximum(end - 1, share * (self.extra == 0))), share - self.extra)
-        share //= self.rest
-        share += self.slots_at.take(self.last)
-        return self.symbol_of.take(share).astype(np.int64)
+        share = (share / self.rest).astype(np.int64)  # exact, for both are far below 2 ** 53
+        share += self.slots_at.take(self.last, mode="clip")
+        return self.symbol_of.take(share, mode="clip").astype(np.int64)
 
     def end(self, symbol: np.ndarray) -> None:
         moved = self.right * 65535
@@ -194,7 +194,7 @@ class _Model:
         entry += 1
         entry |= symbol.astype(np.uint16) << 2
         self.memory[self.at] = entry
-        self.before, self.last = self.hash_before.take(self.last), symbol
+        self.before, self.last = self.hash_before.take(self.last, mode="clip"), symbol
 
 
 class _Writer:
@@ -248,6 +248,11 @@ class _Writer:
         return [words[a : a + n].astype("<u4").tobytes() for a, n in zip(first.tolist(), self.used.tolist(), strict=True)]
 
 
+def _at_once(blocks: int, lanes: int) -> int:
+    """Blocks of a pass, about lanes; passes are even, for one of few blocks takes hardly less time."""
+    return max(1, -(-blocks // max(1, round(blocks / lanes))))
+
+
 def _alive(count: np.ndarray) -> np.ndarray:
     """By step: the lanes that have one more id; they come first, for count falls."""
     return np.searchsorted(-count, -np.arange(int(count.max(initial=0))), "left")
@@ -324,8 +329,9 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
     tables, symbol, place = _Tables.count(ids.astype(np.int64), block)
     head = tables.pack()
     out = [MAGIC, struct.pack("<IQI", block, len(ids), len(head)), head]
-    for at in range(0, len(ids), block * lanes):
-        raw = ids[at : at + block * lanes].astype("<u4")
+    width = block * _at_once(-(-len(ids) // block), lanes)
+    for at in range(0, len(ids), width):
+        raw = ids[at : at + width].astype("<u4")
         rows = -(-len(raw) // block)
         count = np.minimum(len(raw) - np.arange(rows) * block, block)
         steps = []
@@ -364,6 +370,7 @@ def decode(file: bytes, lanes: int = LANES) -> np.ndarray:
         raise ValueError("the header of a token file is damaged") from e
     out = np.zeros(total, np.uint32)
     done = 0
+    lanes = _at_once(len(heads), lanes)
     for first in range(0, len(heads), lanes):
         part = heads[first : first + lanes]
         count = np.array([h[0] for h in part])

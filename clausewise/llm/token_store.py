@@ -1,7 +1,7 @@
 """Token files: whole corpora as range-coded token ids, in order of document.
 
 Documents are range-partitioned by id and sorted, tokenized, ended with an id of their own and
-packed into files of about FILE ids (a longer document makes a longer file), each coded by
+packed into files of FILE ids to one and a half of it (a longer document makes a longer file), each coded by
 range_coder in blocks that can be read alone. The files and the index of their documents are
 written as rows of a Parquet table, so any store that Spark writes to will do, and its commit
 protocol covers retried tasks. A document's place among all ids follows from the files' counts.
@@ -180,10 +180,11 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> N
         encoder, part, seq = _encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         held, lengths, names = [], [], []
 
-        def flush() -> pa.RecordBatch:
-            ids, count = np.concatenate(held), np.concatenate(lengths)
-            row = {"part": [part], "seq": [seq], "n_tokens": [len(ids)], "doc_ids": [[n for x in names for n in x]], "lengths": [count.tolist()], "file": [range_coder.encode(ids)]}
-            held.clear(), lengths.clear(), names.clear()
+        def flush(n: int) -> pa.RecordBatch:
+            """The first n pieces as a file."""
+            ids, count = np.concatenate(held[:n]), np.concatenate(lengths[:n])
+            row = {"part": [part], "seq": [seq], "n_tokens": [len(ids)], "doc_ids": [[k for x in names[:n] for k in x]], "lengths": [count.tolist()], "file": [range_coder.encode(ids)]}
+            del held[:n], lengths[:n], names[:n]
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for b in bytesops.batches(source):
@@ -198,11 +199,12 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> N
                 held.append(out)
                 lengths.append(count)
                 names.append(b.column("doc_id").slice(at, end - at).to_pylist())
-                if sum(map(len, held)) >= FILE:
-                    yield flush()
+                # the next file has half its ids by then, so none is a small remainder
+                if (upto := np.cumsum([len(x) for x in held]))[-1] >= FILE + FILE // 2:
+                    yield flush(int(np.searchsorted(upto, FILE)) + 1)
                     seq += 1
         if held:
-            yield flush()
+            yield flush(len(held))
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("file", pa.binary())])
     ordered.mapInArrow(pack, SCHEMA).write.parquet(path)

@@ -76,6 +76,14 @@ def test_range_coder_notices_damage():
             range_coder.encode(np.array([bad]))
 
 
+def test_range_coder_passes_are_even():
+    assert range_coder._at_once(4300, 4096) == 4300 and range_coder._at_once(9000, 4096) == 4500 and range_coder._at_once(1, 4096) == 1
+    for blocks in (1, 2, 3, 10, 11, 14, 15):
+        ids = np.random.default_rng(blocks).zipf(1.5, 64 * blocks - 5) % 5000
+        assert np.array_equal(range_coder.decode(range_coder.encode(ids, 64, 7), 7), ids)
+        assert range_coder.encode(ids, 64, 7) == range_coder.encode(ids, 64)
+
+
 def by_library(rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     start, out = 0, []
@@ -97,6 +105,17 @@ def test_op6_equals_the_library(spark, tmp_path):
     assert queries.op6_token_files(spark, SF).count() == len(docs)
 
 
+def test_op6_files_are_no_small_remainders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE", 5000)
+    monkeypatch.setattr(token_store, "PIECE", 1000)
+    for n in (45, 52, 76, 101, 126):
+        rows, path = [(k, " word" * 99) for k in range(n)], str(tmp_path / f"n{n}")
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, public_tokenizers.path("byte_bpe_50k.json"))
+        files = [r["n_tokens"] for r in spark.read.parquet(path).collect()]
+        assert sum(files) == 100 * n and min(files) >= min(2500, 100 * n) and max(files) <= 7600
+        assert sorted((tuple(r) for r in token_store.read(spark, path).collect()), key=lambda r: r[1]) == by_library(rows)
+
+
 def thue_morse(n, a="a", b="b"):
     """Texts whose polynomial hashes modulo 2 ** 64 are those of their complements, for any base."""
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
