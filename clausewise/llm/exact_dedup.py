@@ -24,6 +24,8 @@ from . import bytesops, graph
 
 #: Bytes of different texts in a table, ids that a task holds at most beside them, and buckets that a spilled one is dealt to.
 TABLE_BYTES, TABLE_IDS, FAN_OUT = 32 << 20, 1 << 20, 64
+#: Rows that are taken from a batch at once, and bytes of texts and number of ids that are sent at once; a longer text is sent alone.
+TAKEN, SENT_BYTES, SENT_IDS = 256, 1 << 20, 1 << 16
 
 
 def _digest(text: bytes) -> bytes:
@@ -61,32 +63,49 @@ class Table:
             self.slots[at] = k
 
 
+def _rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    """The rows of a batch; only a few of them are Python objects at a time."""
+    for at in range(0, batch.num_rows, TAKEN):
+        yield from zip(*(batch.column(c).slice(at, TAKEN).to_pylist() for c in names), strict=True)
+
+
+def _compact(source: Iterator[pa.RecordBatch], rid: int, table_bytes: int, table_ids: int) -> Iterator[pa.RecordBatch]:
+    """The records of doc_id, text in batches of bounded size, numbered from rid."""
+    table, ids, held = Table(), [], 0
+
+    def flush(of: pa.DataType) -> Iterator[pa.RecordBatch]:
+        at = 0
+        while at < len(ids):
+            to, size, n = at, 0, 0
+            while to < len(ids) and (to == at or (size + len(table.texts[to]) <= SENT_BYTES and n + len(ids[to]) <= SENT_IDS)):
+                size, n, to = size + len(table.texts[to]), n + len(ids[to]), to + 1
+            last = [max((x for x in group if x is not None), default=None) for group in ids[at:to]]
+            arrays = [pa.array(range(rid + at, rid + to), pa.int64()), pa.array(table.digests[at:to], pa.binary()), pa.array(table.texts[at:to], pa.binary()), pa.array(map(len, table.texts[at:to]), pa.int64()), pa.array(last, of), pa.array(ids[at:to], pa.list_(of))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "digest", "text", "size", "last", "ids"])
+            at = to
+
+    for b in bytesops.batches(source):
+        of = b.column(0).type
+        for key, text in _rows(b, ["doc_id", "text"]):
+            text = (text or b"").lower()  # of bytes: A-Z alone
+            k = table.number(text, _digest(text))
+            if k == len(ids):
+                ids.append([])
+            ids[k].append(key)
+            held += 1
+            if table.bytes >= table_bytes or held >= table_ids:
+                yield from flush(of)
+                rid, table, ids, held = rid + len(ids), Table(), [], 0
+    if ids:
+        yield from flush(of)
+
+
 def _records(docs: DataFrame, table_bytes: int, table_ids: int) -> DataFrame:
     """rid, digest, text, size, last (the largest id), ids: a record for each different text that a table of a task held."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def compact(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, table, ids, held = TaskContext.get().partitionId() << 40, Table(), [], 0
-
-        def flush(of: pa.DataType) -> pa.RecordBatch:
-            last = [max((x for x in group if x is not None), default=None) for group in ids]
-            arrays = [pa.array(range(rid, rid + len(ids)), pa.int64()), pa.array(table.digests, pa.binary()), pa.array(table.texts, pa.binary()), pa.array(map(len, table.texts), pa.int64()), pa.array(last, of), pa.array(ids, pa.list_(of))]
-            return pa.RecordBatch.from_arrays(arrays, ["rid", "digest", "text", "size", "last", "ids"])
-
-        for b in bytesops.batches(source):
-            of = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = (text or b"").lower()  # of bytes: A-Z alone
-                k = table.number(text, _digest(text))
-                if k == len(ids):
-                    ids.append([])
-                ids[k].append(key)
-                held += 1
-                if table.bytes >= table_bytes or held >= table_ids:
-                    yield flush(of)
-                    rid, table, ids, held = rid + len(ids), Table(), [], 0
-        if ids:
-            yield flush(of)
+        return _compact(source, TaskContext.get().partitionId() << 40, table_bytes, table_ids)
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(compact, f"rid bigint, digest binary, text binary, size bigint, last {kind}, ids array<{kind}>")
@@ -114,7 +133,7 @@ def _tables(dealt: DataFrame) -> DataFrame:
 
         for b in bytesops.batches(source):
             of = b.column("last").type
-            for x, rid, digest, text, last, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "rid", "digest", "text", "last", "n")), strict=True):
+            for x, rid, digest, text, last, n in _rows(b, ["bucket", "rid", "digest", "text", "last", "n"]):
                 if x != bucket:
                     yield from solved(of)
                     bucket, table, groups = x, Table(), []

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from clausewise.llm import exact_dedup, queries
@@ -64,6 +65,16 @@ def test_op11_tells_texts_apart_whatever_their_hash(spark, monkeypatch):
     assert table.bytes == sum(len(b"%d" % k) for k in range(700))
 
 
+def test_op11_sends_records_in_bounded_batches():
+    texts = [b"%05d" % k * 400 for k in range(4000)] + [b"x" * (3 << 20), b"y", b"Y"]
+    source = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    got = list(exact_dedup._compact(iter([source]), 7, 4 << 20, 1 << 20))
+    assert max(b.nbytes for b in got if b.num_rows > 1) < (1 << 20) + (1 << 18) and len(got) < 20
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["rid"] for r in rows] == list(range(7, 7 + len(texts) - 1)) and [r["text"] for r in rows] == [x.lower() for x in texts[:-1]]
+    assert [r["ids"] for r in rows] == [[k] for k in range(4001)] + [[4001, 4002]] and rows[-1]["last"] == 4002
+
+
 def test_op11_takes_other_kinds_of_ids_and_empty_tables(spark):
     rows = [("b", "x"), ("a", "X"), ("c", None), (None, "x")]
     got = shown(exact_dedup.report(spark.createDataFrame(rows, "doc_id string, text string")))
