@@ -32,10 +32,11 @@ def column_edge(centres: Column) -> Column:
     return F.when(F.size(centres) >= BLOCKS, let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), judge))
 
 
-def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
-    """blocks (page columns, x0, y0, x1, y1, text) with col (0 or 1) and pos (from 0) within the page. Blank blocks are left out."""
+def reading_order(blocks: DataFrame, page: list[str], ties: list[str] | None = None) -> DataFrame:
+    """blocks (page columns, x0, y0, x1, y1, text) with col (0 or 1) and pos (from 0) within the page. Blank blocks are left out;
+    blocks with equal places and texts go by the columns of ties, such as their number on the page, so that every run has one order."""
     sound = blocks.filter(F.trim("text") != "").withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
     edges = sound.groupBy(*page).agg(column_edge(F.array_sort(F.collect_list("cx"))).alias("edge"))
     placed = sound.join(edges, page).withColumn("col", F.when(F.col("cx") < F.col("edge"), 0).when(F.col("edge").isNull(), 0).otherwise(1))
-    order = Window.partitionBy(*page).orderBy("col", "y0", "x0", "text")
+    order = Window.partitionBy(*page).orderBy("col", "y0", "x0", "text", *(ties or []))
     return placed.withColumn("pos", F.row_number().over(order) - 1).drop("cx", "edge")

@@ -271,6 +271,14 @@ def test_reading_order(spark):
     assert [r["text"] for r in got] == ["b0", "b2", "b4", "b6", "b1", "b3", "b5", "b7", "high", "low"]
 
 
+def test_equal_blocks_are_read_in_order_of_their_numbers(spark):
+    rows = [(1, k, 0.0, 0.0, 9.0, 9.0, "same") for k in (5, 2, 9, 0, 7, 1)] + [(1, 8, 0.0, 0.0, 9.0, 9.0, "first")]
+    df = spark.createDataFrame(rows, "page int, ord int, x0 double, y0 double, x1 double, y1 double, text string")
+    for parts in (1, 3):
+        got = layout.reading_order(df.repartition(parts), ["page"], ["ord"]).orderBy("pos").collect()
+        assert [r["ord"] for r in got] == [8, 0, 1, 2, 5, 7, 9]
+
+
 def test_tfidf_of_equal_texts(spark):
     df = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha beta beta"), (3, "gamma"), (4, None), (5, "x")], "doc_id long, text string")
     w = tfidf.weights(df)
