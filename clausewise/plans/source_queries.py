@@ -58,8 +58,8 @@ def classify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = docs.select("doc_id", F.concat(F.lit("/in/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     library = fixtures.table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("id"), "text")
     model = tfidf.fit(library, key="id")
-    templates = tfidf.transform(library, "text", "embedding", model)
-    vectors = lambda df: tfidf.transform(df, "text", "embedding", model)
+    templates = tfidf.sparse(library, "text", "embedding", model)
+    vectors = lambda df: tfidf.sparse(df, "text", "embedding", model)
     for arrived in ("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id % 4 = 0"):
         landed.filter(arrived).select("path", "content").write.mode("append").parquet(f"{place}/landing")
         stream = spark.readStream.schema("path string, content binary").parquet(f"{place}/landing")

@@ -51,6 +51,16 @@ def test_fitted_on_templates_documents_are_matched(spark, docs):
     assert np.allclose(sorted(s for _, s in found.values()), sorted((x @ t.T).max(1)[x.any(1)]), atol=1e-9)
 
 
+def test_sparse_vectors_are_the_dense_ones(spark, docs):
+    model = tfidf.fit(docs, features=200)
+    more = docs.union(spark.createDataFrame([(-1, None), (-2, "!")], "doc_id bigint, text string"))
+    want = {r["doc_id"]: {k: w for k, w in enumerate(r["v"]) if w} for r in tfidf.transform(more, "text", "v", model).collect()}
+    for first in (None, 50):
+        got = {r["doc_id"]: dict(zip(r["v"]["at"], r["v"]["of"], strict=True)) for r in tfidf.sparse(more, "text", "v", model, first).collect()}
+        assert {k: {p for p in v if p < (first or 200)} for k, v in want.items()} == {k: set(v) for k, v in got.items()}
+        assert all(abs(want[k][p] - w) < 1e-12 for k, v in got.items() for p, w in v.items())
+
+
 def test_singular_values_are_those_of_the_whole_matrix(spark, docs):
     encoder = latent.fit(docs, components=20, features=150, steps=200, still=1e-12)
     x = dense(spark, docs, encoder.model)

@@ -132,6 +132,19 @@ def test_batches_give_what_one_batch_gives(spark, tmp_path):
     assert sorted(map(str, classify.counted(direct).collect())) == one[1]
 
 
+def test_a_library_that_is_too_large_to_be_sent_is_dealt(spark, tmp_path):
+    library = spark.createDataFrame([(f"t{k}", f"red apples and pears {'supply ' * (k % 3)}") for k in range(9)], "id string, text string")
+    model = tfidf.fit(library, key="id")
+    rows = [(f"/in/s{k % 2}/{k}.txt", b"red apples and supply" if k % 2 else b"nothing known") for k in range(8)]
+    found = []
+    for name, make, most in (("a", tfidf.transform, 1 << 20), ("b", tfidf.transform, 100), ("c", tfidf.sparse, 100), ("d", tfidf.sparse, 1 << 20)):
+        vectors = lambda df, make=make: make(df, "text", "embedding", model)
+        stream = arrivals(spark, rows, str(tmp_path / name / "landing"))
+        classify.classify_available(stream, vectors(library), vectors, str(tmp_path / name / "out"), str(tmp_path / name / "mark"), DAY, block_bytes=most)
+        found.append(sorted(map(str, classify.results(spark, str(tmp_path / name / "out")).collect())))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 8
+
+
 def test_a_run_that_failed_is_taken_up_again(spark, tmp_path):
     library = spark.createDataFrame([("t1", "red apples")], "id string, text string")
     model = tfidf.fit(library, key="id")
