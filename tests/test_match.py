@@ -64,3 +64,18 @@ def test_many_nearly_equal_templates_are_ranked_exactly(spark, monkeypatch):
     score = (q / np.linalg.norm(q, axis=1)[:, None]) @ (t / np.linalg.norm(t, axis=1)[:, None]).T
     want = [(str(k), f"t{j:03d}") for k in range(20) for j in np.argsort(-score[k])[:2]]
     assert [(r["id"], r["template_id"]) for r in got] == want
+
+
+def test_sparse_vectors_match_as_dense_ones_and_are_written_as_they_are(spark, monkeypatch):
+    """A text has few of a model's terms; a dense row of 1024 numbers was written for each of its copies."""
+    from clausewise.operators import tfidf
+
+    docs = spark.createDataFrame([(str(k), " ".join(f"word{(k * j) % 53}" for j in range(1, 2 + k % 9))) for k in range(120)], "id string, text string")
+    library, model = docs.filter("id % 7 = 0"), tfidf.fit(docs, key="id")
+    dense = M.nearest(tfidf.transform(docs, "text", "embedding", model), tfidf.transform(library, "text", "embedding", model), 2, 0.1)
+    want = sorted((r["id"], r["template_id"], round(r["similarity"], 9)) for r in dense.collect())
+    made = lambda df: tfidf.sparse(df, "text", "embedding", model)
+    for held, most in ((M.HELD_BYTES, M.BLOCK_BYTES), (500, 0)):
+        monkeypatch.setattr(M, "HELD_BYTES", held)
+        got = M.nearest(made(docs), made(library), 2, 0.1, most)
+        assert sorted((r["id"], r["template_id"], round(r["similarity"], 9)) for r in got.collect()) == want and len(want) > 150
