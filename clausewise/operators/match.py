@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions import vector
 
 #: Bytes of template vectors that are sent at once or held by a task, and rows of a library that are multiplied at once.
-BLOCK_BYTES, HELD_BYTES, BLOCK_ROWS = 128 << 20, 64 << 20, 4096
+BLOCK_BYTES, HELD_BYTES, BLOCK_ROWS = 32 << 20, 32 << 20, 4096
 #: Documents that are multiplied at once, bytes of a block of dense rows, and pairs that wait to be scored.
 ROWS, TILE_BYTES, PAIRS = 1024, 32 << 20, 1 << 20
 MATCHED = "id string, template_id string, doc_score double, title_score double, score double, rank int"
@@ -246,7 +246,9 @@ def _runs(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, Ite
                 break
             held.append(run)
         if held and first is not None:
-            yield place, pa.Table.from_batches(held), itertools.chain([first], (run for _, _, run in rows))
+            table = [pa.Table.from_batches(held)]
+            held.clear()  # what is made of the table takes its place
+            yield place, table.pop(), itertools.chain([first], (run for _, _, run in rows))
 
 
 def _dealt(docs: DataFrame, library: DataFrame, width: int, groups: int, k: int, *how) -> DataFrame:
@@ -254,7 +256,7 @@ def _dealt(docs: DataFrame, library: DataFrame, width: int, groups: int, k: int,
 
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, library, runs in _runs(source):
-            held = _prepared(library, width, k)
+            held, library = _prepared(library, width, k), None
             for run in runs:
                 for part in _slices(run):
                     yield _ranked(part.column("id"), _arrays(part, width), held, k, *how)
