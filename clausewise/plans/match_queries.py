@@ -176,7 +176,8 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.insert("templates", library)
     store.insert("template_chunks", library.select(F.concat_ws(":", "id", F.lit(0)).alias("chunk_id"), F.col("id").alias("template_id"), F.lit(0).alias("ord"), F.col("title").alias("text")))
     store.insert("docs_inserted", docs)
-    store.insert("docs_inserted_chunks", chunks.join(docs.select(F.col("id").alias("doc_id"), "session_id"), "doc_id"))
+    stored = store.read("docs_inserted").select(F.col("id").alias("doc_id"), "session_id")  # as stored: nothing is matched again
+    store.insert("docs_inserted_chunks", chunks.join(stored, "doc_id"))
     edited = spark.range(2).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("edited "), "id").alias("text"))
     for _ in range(2):
         store.clear_session(SESSION)
