@@ -79,3 +79,11 @@ def test_sparse_vectors_match_as_dense_ones_and_are_written_as_they_are(spark, m
         monkeypatch.setattr(M, "HELD_BYTES", held)
         got = M.nearest(made(docs), made(library), 2, 0.1, most)
         assert sorted((r["id"], r["template_id"], round(r["similarity"], 9)) for r in got.collect()) == want and len(want) > 150
+
+
+def test_documents_without_direction_match_nothing_in_a_dealt_library(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD_BYTES", 1000)
+    docs = spark.createDataFrame([("zero", [0.0] * 5, None), ("none", None, [1.0] * 5), ("nan", [float("nan")] * 5, None), ("good", [1.0] * 5, [0.0] * 5)], SIDE)
+    library = side(spark, "t", 50, 6)
+    sent = shown(M.match(docs, library, 1, -1.0))
+    assert shown(M.match(docs, library, 1, -1.0, block_bytes=0)) == sent and [x[0] for x in sent] == ["good"]
